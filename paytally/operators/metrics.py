@@ -8,6 +8,7 @@ left out, and a success rate over less than an hour may see no cells.
 from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,10 @@ def sparkline(
     return per_bucket(chosen, *keys).orderBy("bucket", *keys)
 
 
+REQUEST = ["request_id", "merchant_id", "start", "end", "granularity", "error"]
+MEASURES = ["count", "volume_cents", "confirmed", "failed"]
+
+
 def answer_requests(
     requests: DataFrame, cells: dict[str, DataFrame], hot_rows: int | None = None
 ) -> DataFrame:
@@ -171,48 +176,37 @@ def answer_requests(
     Each request is cut into the days it touches and meets the cells by
     (merchant, day). Whole days read one pre-summed row, only the first and last day
     read single buckets: the work per request is its days plus two days of buckets,
-    and a hot merchant's requests are spread over days and salts.
+    and a hot merchant's requests are spread over days and salts. A request outside
+    the limits of ``check_range`` comes back with ``error`` set and null totals.
     """
+    start, end = F.col("start"), F.col("end")
+    whole_days = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 86_400_000_000)
+    error = F.when(start >= end, "start must be before end").when(
+        whole_days > MAX_RANGE_DAYS, f"range cannot exceed {MAX_RANGE_DAYS} days"
+    )
     routed = requests.select(
         "request_id", "merchant_id", "start", "end",
-        grain_of(F.col("start"), F.col("end")).alias("granularity"),
+        F.when(error.isNull(), grain_of(start, end)).alias("granularity"),
+        error.alias("error"),
     )
-    nothing = F.lit(0).cast("bigint")
-    parts = [
-        routed.select(
-            "request_id",
-            *[nothing.alias(c) for c in ("count", "volume_cents", "confirmed", "failed")],
-        )
-    ]
+    valid = routed.where(F.col("error").isNull())
+    zero = F.lit(0).cast("bigint")
+    parts = [routed.select(*REQUEST, *[zero.alias(m) for m in MEASURES])]
     for grain in GRAINS:
-        measures = _range_measures(cells[grain])
-        found = _sum_over_days(routed.where(F.col("granularity") == grain), measures, grain, hot_rows)
-        parts.append(
-            found.select(
-                "request_id", "count", "volume_cents",
-                nothing.alias("confirmed"), nothing.alias("failed"),
-            )
-        )
-    outcomes = _sum_over_days(routed, _range_measures(cells["hour"]), "hour", hot_rows)
-    parts.append(
-        outcomes.select(
-            "request_id", nothing.alias("count"), nothing.alias("volume_cents"),
-            "confirmed", "failed",
-        )
-    )
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    answered = stacked.groupBy("request_id").agg(
-        F.sum("volume_cents").cast("bigint").alias("total_volume_cents"),
-        F.sum("count").cast("bigint").alias("total_count"),
-        F.sum("confirmed").cast("bigint").alias("confirmed"),
-        F.sum("failed").cast("bigint").alias("failed"),
+        chosen = valid.where(F.col("granularity") == grain)
+        found = _sum_over_days(chosen, _range_measures(cells[grain]), grain, hot_rows)
+        parts.append(found.withColumns({"confirmed": zero, "failed": zero}))
+    outcomes = _sum_over_days(valid, _range_measures(cells["hour"]), "hour", hot_rows)
+    parts.append(outcomes.withColumns({"count": zero, "volume_cents": zero}))
+    answered = reduce(DataFrame.unionByName, parts).groupBy(*REQUEST).agg(
+        *[F.sum(m).cast("bigint").alias(m) for m in MEASURES]
     )
-    rate = success_rate(F.col("confirmed"), F.col("failed")).alias("success_rate")
-    return routed.join(answered, "request_id").select(
-        "request_id", "merchant_id", "start", "end", "granularity",
-        "total_volume_cents", "total_count", rate,
+    ok = F.col("error").isNull()
+    return answered.select(
+        *REQUEST,
+        F.when(ok, F.col("volume_cents")).alias("total_volume_cents"),
+        F.when(ok, F.col("count")).alias("total_count"),
+        F.when(ok, success_rate(F.col("confirmed"), F.col("failed"))).alias("success_rate"),
     )
 
 
@@ -226,14 +220,13 @@ def _range_measures(cells: DataFrame) -> DataFrame:
 
 
 def _sum_over_days(
-    routed: DataFrame, measures: DataFrame, grain: str, hot_rows: int | None
+    requests: DataFrame, measures: DataFrame, grain: str, hot_rows: int | None
 ) -> DataFrame:
-    """Sum of the buckets inside each request's range, one row per request and day."""
-    values = ["count", "volume_cents", "confirmed", "failed"]
+    """The measures inside each request's range, still one row per day or edge bucket."""
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    days = routed.select(
-        "request_id", "merchant_id", "start", "end",
-        F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("bucket_date"),
+    key = ["merchant_id", "bucket_date"]
+    days = requests.withColumn(
+        "bucket_date", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
     )
     day_start = F.col("bucket_date").cast("timestamp")
     last_bucket = {
@@ -243,16 +236,12 @@ def _sum_over_days(
     }[grain]
     whole = (F.col("start") <= day_start) & (F.col("end") >= last_bucket)
     dated = measures.withColumn("bucket_date", F.to_date("bucket"))
-    by_day = dated.groupBy("merchant_id", "bucket_date").agg(
-        *[F.sum(v).cast("bigint").alias(v) for v in values]
-    )
-    found = spread_join(
-        days.where(whole), by_day, ["merchant_id", "bucket_date"], "inner", **options
-    ).select("request_id", *values)
+    by_day = dated.groupBy(*key).agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
+    found = spread_join(days.where(whole), by_day, key, "inner", **options)
+    found = found.select(*REQUEST, *MEASURES)
     if grain == "day":
         # A day bucket starts its day: not whole means not in the range.
         return found
-    edges = spread_join(
-        days.where(~whole), dated, ["merchant_id", "bucket_date"], "inner", **options
-    ).where(F.col("bucket").between(F.col("start"), F.col("end")))
-    return found.unionByName(edges.select("request_id", *values))
+    edges = spread_join(days.where(~whole), dated, key, "inner", **options)
+    inside = edges.where(F.col("bucket").between(F.col("start"), F.col("end")))
+    return found.unionByName(inside.select(*REQUEST, *MEASURES))
