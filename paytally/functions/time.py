@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAINS = ("minute", "hour", "day")
@@ -33,6 +33,24 @@ def period_end(key: Column) -> Column:
     return F.add_months(F.to_date(F.concat(key, F.lit("-01"))), 1).cast("timestamp")
 
 
+def cell_parts(cells: DataFrame) -> DataFrame:
+    """Both partition columns of stored cells."""
+    return cells.withColumns(
+        {"bucket_date": F.to_date("bucket"), "bucket_month": period_key(F.col("bucket"))}
+    )
+
+
+def within_days(cells: DataFrame, first: date, last: date) -> DataFrame:
+    """Prune the folders of stored cells to the days ``first..last``. A condition on
+    ``bucket`` alone would not reach the partition columns derived from it."""
+    if "bucket_date" in cells.columns:
+        cells = cells.where(F.col("bucket_date").between(F.lit(first), F.lit(last)))
+    if "bucket_month" in cells.columns:
+        months = first.strftime("%Y-%m"), last.strftime("%Y-%m")
+        cells = cells.where(F.col("bucket_month").between(*map(F.lit, months)))
+    return cells
+
+
 def month_bounds(key: str) -> tuple[datetime, datetime]:
     """Half-open bounds of a ``YYYY-MM`` period, needed before planning to prune dates."""
     start = datetime.strptime(key, "%Y-%m").replace(tzinfo=timezone.utc)

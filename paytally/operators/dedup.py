@@ -45,12 +45,12 @@ def claim_rows(claimed: DataFrame, claim_date: Column) -> DataFrame:
 
 
 def responses(
-    events: DataFrame, ledger: DataFrame, order: list[str], hot_rows: int | None = None
+    events: DataFrame, ledger: DataFrame, order: list[str], **spread: int
 ) -> DataFrame:
     """One row per submitted row: the original's id and arrival, and whether it repeats.
 
     The winning position is a slim per-key aggregate; only that is joined back, with
-    the rows of hot keys split over tasks.
+    the rows of hot keys split over tasks (``spread`` passes limits of ``spread_join``).
     """
     position = F.struct(*order)
     winners = events.groupBy(KEY).agg(
@@ -64,8 +64,7 @@ def responses(
     ).join(winners.select(KEY), KEY, "left_semi")
     originals = winners.join(claims, KEY, "left")
     submitted = events.withColumn("_own", position)
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    joined = spread_join(submitted, originals, [KEY], "left", **options)
+    joined = spread_join(submitted, originals, [KEY], "left", **spread)
     fresh = F.col("_ledger_id").isNull() & (F.col("_own") == F.col("_position"))
     result = with_event_id(joined).withColumns(
         {

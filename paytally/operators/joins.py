@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+SPREAD_BYTES = 1 << 30
 MAX_HOT_KEYS = 10_000
 NULL_KEY_SALTS = 1_000
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Catalyst's size estimate against the session's broadcast threshold."""
     spark = df.sparkSession
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
     limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 0 <= size <= limit_bytes
+    return 0 <= estimated_bytes(df) <= limit_bytes
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    hot_rows: int = HOT_ROWS,
+    spread_bytes: int = SPREAD_BYTES,
 ) -> DataFrame:
     """Join a large, possibly skewed left side to ``right``.
 
@@ -29,21 +39,29 @@ def lookup_join(
     """
     if fits_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
-    return spread_join(left, right, keys, how, hot_rows)
+    return spread_join(left, right, keys, how, hot_rows, spread_bytes)
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    hot_rows: int = HOT_ROWS,
+    spread_bytes: int = SPREAD_BYTES,
 ) -> DataFrame:
     """Shuffle join that splits the left rows of hot keys over several tasks.
 
     A key with more than ``hot_rows`` left rows gets ``ceil(rows / hot_rows)`` salts;
     its right rows are repeated once per salt. The list of hot keys is at most
     ``MAX_HOT_KEYS`` long (the hottest ones), hence safe to broadcast; a key past the
-    list holds under 1/MAX_HOT_KEYS of the rows and is joined exactly, unsalted.
+    list holds under 1/MAX_HOT_KEYS of the rows and is joined exactly, unsalted. A left
+    side estimated under ``spread_bytes`` fits a task whole and is joined as it is.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"the right side cannot be repeated in a {how!r} join")
+    if estimated_bytes(left) < spread_bytes:
+        return left.join(right, keys, how)
     hot = (
         left.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))

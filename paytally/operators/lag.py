@@ -21,7 +21,7 @@ def late_events(
         F.col("id").alias("event_id"),
         "merchant_id",
         event_time().alias("event_ts"),
-        F.round(lag, 1).alias("lag_seconds"),
+        F.bround(lag, 1).alias("lag_seconds"),
         seconds_between(F.col("occurred_at"), F.col("client_timestamp")).alias("client_delay_s"),
     )
 
@@ -71,7 +71,7 @@ def pipeline_lag(
     threshold_s: float = schemas.LAG_THRESHOLD_S,
 ) -> DataFrame:
     """Status per consumer: ok, degraded past the threshold, unknown without a position."""
-    lag = F.round(seconds_between(ts_lit(as_of), F.col("last_event_at")), 1)
+    lag = F.bround(seconds_between(ts_lit(as_of), F.col("last_event_at")), 1)
     status = (
         F.when(F.col("lag_seconds").isNull(), "unknown")
         .when(F.col("lag_seconds") > threshold_s, "degraded")

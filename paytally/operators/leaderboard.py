@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions.measures import as_uuid
-from paytally.functions.time import month_bounds, snapshot_end, snapshot_start, ts_lit
+from paytally.functions.time import month_bounds, snapshot_end, snapshot_start, ts_lit, within_days
 from paytally.operators.joins import lookup_join
 
 
@@ -21,14 +21,9 @@ def check_top_n(n: int) -> int:
 
 def confirmed_volumes(day_cells: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Volume and transactions per merchant over the half-open range."""
-    if "bucket_date" in day_cells.columns:
-        day_cells = day_cells.where(
-            (F.col("bucket_date") >= F.lit(start.date()))
-            & (F.col("bucket_date") < F.lit(end.date()))
-        )
     bucket = F.col("bucket")
     return (
-        day_cells.where(
+        within_days(day_cells, start.date(), end.date()).where(
             (bucket >= ts_lit(start))
             & (bucket < ts_lit(end))
             & (F.col("event_type") == schemas.CONFIRMED)

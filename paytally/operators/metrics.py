@@ -7,7 +7,7 @@ left out, and a success rate over less than an hour may see no cells.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions.measures import success_rate, sum_where
-from paytally.functions.time import GRAINS, minutes_before, ts_lit, utc
+from paytally.functions.time import GRAINS, minutes_before, ts_lit, utc, within_days
 from paytally.operators.joins import spread_join
 from paytally.operators.rollup import per_bucket
 
@@ -56,12 +56,8 @@ def check_range(
 
 
 def in_range(cells: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Cells with ``start <= bucket <= end``. Stored tables are partitioned by
-    ``bucket_date``; a bucket range alone would not prune their directories."""
-    if "bucket_date" in cells.columns:
-        cells = cells.where(
-            F.col("bucket_date").between(F.lit(utc(start).date()), F.lit(utc(end).date()))
-        )
+    """Cells with ``start <= bucket <= end``."""
+    cells = within_days(cells, utc(start).date(), utc(end).date())
     return cells.where(F.col("bucket").between(ts_lit(start), ts_lit(end)))
 
 
@@ -156,9 +152,7 @@ def sparkline(
     if not 5 <= window_minutes <= 1440:
         raise ValueError("window_minutes must be in 5..1440")
     since = utc(as_of) - timedelta(minutes=window_minutes)
-    chosen = _of(minute_cells, merchant_id)
-    if "bucket_date" in chosen.columns:
-        chosen = chosen.where(F.col("bucket_date") >= F.lit(since.date()))
+    chosen = within_days(_of(minute_cells, merchant_id), since.date(), date.max)
     chosen = chosen.where(F.col("bucket") >= minutes_before(ts_lit(as_of), window_minutes))
     keys = _keys(merchant_id)
     return per_bucket(chosen, *keys).orderBy("bucket", *keys)
@@ -169,7 +163,7 @@ MEASURES = ["count", "volume_cents", "confirmed", "failed"]
 
 
 def answer_requests(
-    requests: DataFrame, cells: dict[str, DataFrame], hot_rows: int | None = None
+    requests: DataFrame, cells: dict[str, DataFrame], **spread: int
 ) -> DataFrame:
     """Totals and success rate for a table of ``(request_id, merchant_id, start, end)``.
 
@@ -194,9 +188,9 @@ def answer_requests(
     parts = [routed.select(*REQUEST, *[zero.alias(m) for m in MEASURES])]
     for grain in GRAINS:
         chosen = valid.where(F.col("granularity") == grain)
-        found = _sum_over_days(chosen, _range_measures(cells[grain]), grain, hot_rows)
+        found = _sum_over_days(chosen, _range_measures(cells[grain]), grain, spread)
         parts.append(found.withColumns({"confirmed": zero, "failed": zero}))
-    outcomes = _sum_over_days(valid, _range_measures(cells["hour"]), "hour", hot_rows)
+    outcomes = _sum_over_days(valid, _range_measures(cells["hour"]), "hour", spread)
     parts.append(outcomes.withColumns({"count": zero, "volume_cents": zero}))
     answered = reduce(DataFrame.unionByName, parts).groupBy(*REQUEST).agg(
         *[F.sum(m).cast("bigint").alias(m) for m in MEASURES]
@@ -220,10 +214,9 @@ def _range_measures(cells: DataFrame) -> DataFrame:
 
 
 def _sum_over_days(
-    requests: DataFrame, measures: DataFrame, grain: str, hot_rows: int | None
+    requests: DataFrame, measures: DataFrame, grain: str, spread: dict[str, int]
 ) -> DataFrame:
     """The measures inside each request's range, still one row per day or edge bucket."""
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
     key = ["merchant_id", "bucket_date"]
     days = requests.withColumn(
         "bucket_date", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
@@ -237,11 +230,11 @@ def _sum_over_days(
     whole = (F.col("start") <= day_start) & (F.col("end") >= last_bucket)
     dated = measures.withColumn("bucket_date", F.to_date("bucket"))
     by_day = dated.groupBy(*key).agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
-    found = spread_join(days.where(whole), by_day, key, "inner", **options)
+    found = spread_join(days.where(whole), by_day, key, "inner", **spread)
     found = found.select(*REQUEST, *MEASURES)
     if grain == "day":
         # A day bucket starts its day: not whole means not in the range.
         return found
-    edges = spread_join(days.where(~whole), dated, key, "inner", **options)
+    edges = spread_join(days.where(~whole), dated, key, "inner", **spread)
     inside = edges.where(F.col("bucket").between(F.col("start"), F.col("end")))
     return found.unionByName(inside.select(*REQUEST, *MEASURES))

@@ -7,16 +7,14 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paytally.functions.time import ts_lit
+from paytally.functions.time import ts_lit, within_days
 from paytally.operators.rollup import coarsen
 
 
 def cells_of_date(cells: DataFrame, day: date) -> DataFrame:
     start = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
-    if "bucket_date" in cells.columns:
-        cells = cells.where(F.col("bucket_date") == F.lit(day))
     bucket = F.col("bucket")
-    return cells.where((bucket >= ts_lit(start)) & (bucket < ts_lit(start + timedelta(days=1))))
+    return within_days(cells, day, day).where((bucket >= ts_lit(start)) & (bucket < ts_lit(start + timedelta(days=1))))
 
 
 def day_from_hours(hour_cells: DataFrame, day: date) -> DataFrame:

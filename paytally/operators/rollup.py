@@ -46,7 +46,7 @@ def _merged(cells: DataFrame) -> list[Column]:
 def merge_cells(*parts: DataFrame) -> DataFrame:
     """Additive merge of stored cells and deltas."""
     cells = reduce(DataFrame.unionByName, parts)
-    keys = [*CELL, "bucket_date"] if "bucket_date" in cells.columns else CELL
+    keys = [*CELL, *(c for c in ("bucket_date", "bucket_month") if c in cells.columns)]
     return cells.groupBy(*keys).agg(*_merged(cells))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paytally import schemas
-from paytally.functions.time import month_bounds, ts_lit
+from paytally.functions.time import cell_parts, month_bounds, ts_lit
 from paytally.operators.leaderboard import (
     confirmed_volumes,
     leaderboard_from_board,
@@ -60,12 +60,14 @@ def compact_day(rollups: RollupStore, day: date, now: datetime | None = None) ->
     they were before, at most ten rows, already computed."""
     now = now or datetime.now(timezone.utc)
     hours = rollups.cells("hour", day, day)
-    found = discrepancies(rollups.cells("day", day, day), hours, day)
+    key = f"{day:%Y-%m}"
+    month = rollups.read("day", key, key)
+    found = discrepancies(month, hours, day)
     before = rollups.spark.createDataFrame(found.collect(), found.schema)
-    canonical = day_from_hours(hours, day).withColumns(
-        {"bucket_date": F.lit(day), "updated_at": ts_lit(now)}
-    )
-    rollups.fold("day", replacement=canonical, parts=[str(day)])
+    canonical = cell_parts(day_from_hours(hours.drop("updated_at"), day))
+    others = month.where(F.to_date("bucket") != F.lit(day))
+    replaced = canonical.withColumn("updated_at", ts_lit(now)).select(*others.columns)
+    rollups.fold("day", others.unionByName(replaced), [key])
     return before
 
 

@@ -121,7 +121,13 @@ ROLLUP_COMMIT = _fields(
 MARKER = _fields(("event_id", S), ("processed_at", TS), ("occurred_date", D))
 
 
-def cells(kind: str) -> T.StructType:
+# Day cells are few: a folder per month keeps their files large. Minutes and hours get
+# a folder per day.
+CELL_PART = {"minute": "bucket_date", "hour": "bucket_date", "day": "bucket_month"}
+
+
+def cells(kind: str, grain: str) -> T.StructType:
+    part = CELL_PART[grain]
     return _fields(
         ("merchant_id", MERCHANT_TYPES[kind]),
         ("bucket", TS),
@@ -131,7 +137,7 @@ def cells(kind: str) -> T.StructType:
         ("amount_min_cents", L),
         ("amount_max_cents", L),
         ("updated_at", TS),
-        ("bucket_date", D),
+        (part, D if part == "bucket_date" else S),
     )
 
 

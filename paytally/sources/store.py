@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paytally import schemas
+from paytally.functions.time import GRAINS
 from paytally.operators.rollup import merge_board, merge_cells
 from paytally.session import use_utc
 
@@ -66,8 +67,7 @@ class BatchStore:
         self._make("commit")
 
     def _make(self, path: str) -> None:
-        nothing = self.spark.createDataFrame([], "nothing int")
-        nothing.write.mode("ignore").parquet(f"{self.root}/{path}")
+        _make_folder(self.spark, f"{self.root}/{path}")
 
     # Batches
 
@@ -93,12 +93,7 @@ class BatchStore:
 
     def is_committed(self, run_id: str, batch_id: int) -> bool:
         path = self.batch_path("commit", run_id, batch_id)
-        try:
-            return not self.spark.read.schema(self.commit_schema).parquet(path).isEmpty()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return False
-            raise
+        return not _read_if_there(self.spark, self.commit_schema, path).isEmpty()
 
     def commit(self, run_id: str, batch_id: int, **row) -> None:
         values = {"src_run": run_id, "src_batch": batch_id, **row}
@@ -129,6 +124,11 @@ class BatchStore:
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}")
         return reader.parquet(*paths).select(*table.schema.fieldNames())
 
+    def read_batch(self, name: str, run_id: str, batch_id: int) -> DataFrame:
+        """The files of one batch. Without rows an object store has no folder for it."""
+        path = self.batch_path(name, run_id, batch_id)
+        return _read_if_there(self.spark, self.tables[name].schema, path)
+
     def read_committed(
         self, name: str, start: date | str | None = None, end: date | str | None = None
     ) -> DataFrame:
@@ -256,7 +256,7 @@ class BatchStore:
             )
         path = f"{self.root}/base/{name}/version={version}"
         self._write(table, rows, path)
-        written = self.spark.read.schema(table.schema).parquet(path).select(part).distinct()
+        written = _read_if_there(self.spark, table.schema, path).select(part).distinct()
         live = {str(r[0]) for r in written.collect()}
         gone = (dropped & set(known)) | (replaced - live)
         record = (
@@ -304,6 +304,20 @@ class BatchStore:
         return doomed
 
 
+def _make_folder(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.mkdirs(where)
+
+
+def _read_if_there(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def _either(conditions: list[Column]) -> Column:
     chosen = F.lit(False)
     for condition in conditions:
@@ -384,16 +398,17 @@ class RollupStore(BatchStore):
     ) -> None:
         self.merchant_kind = merchant_kind
         self.consumer_id = consumer_id
-        cells = schemas.cells(merchant_kind)
         order = ("merchant_id", "bucket")
+        cells = [
+            Table(g, schemas.cells(merchant_kind, g), schemas.CELL_PART[g], order, merge_cells)
+            for g in GRAINS
+        ]
         super().__init__(
             spark,
             f"{root.rstrip('/')}/consumer={consumer_id}",
             [
                 Table("markers", schemas.MARKER, "occurred_date", ("event_id",)),
-                Table("minute", cells, "bucket_date", order, merge_cells),
-                Table("hour", cells, "bucket_date", order, merge_cells),
-                Table("day", cells, "bucket_date", order, merge_cells),
+                *cells,
                 Table("board", schemas.board(merchant_kind), "period", ("merchant_id",), merge_board),
                 Table("late", schemas.late_events(merchant_kind), "occurred_date", ("event_id",)),
             ],
@@ -401,7 +416,12 @@ class RollupStore(BatchStore):
         )
 
     def cells(self, grain: str, start: date | None = None, end: date | None = None) -> DataFrame:
-        return self.read(grain, start, end)
+        """Cells of the days ``start..end``, read from their folders only."""
+        if schemas.CELL_PART[grain] == "bucket_month":
+            rows = self.read(grain, start and f"{start:%Y-%m}", end and f"{end:%Y-%m}")
+        else:
+            rows = self.read(grain, start, end)
+        return rows.where(_between(F.to_date("bucket"), start, end))
 
 
 class SnapshotStore:
@@ -411,8 +431,7 @@ class SnapshotStore:
         self.spark = use_utc(spark)
         self.path = f"{root.rstrip('/')}/snapshots"
         self.schema = schemas.snapshots(merchant_kind)
-        nothing = spark.createDataFrame([], "nothing int")
-        nothing.write.mode("ignore").parquet(self.path)
+        _make_folder(self.spark, self.path)
 
     def write(self, rows: DataFrame, period: str, period_start: date) -> None:
         """Replace one snapshot; merchants that left the top 100 go with the old files."""

@@ -67,7 +67,7 @@ def ingest_batch(
         )
         store.write("log", fresh, run_id, batch_id)
         # The ledger comes from the log just written: both hold the same winners.
-        logged = store.read_batches("log", [(run_id, batch_id)])
+        logged = store.read_batch("log", run_id, batch_id)
         claims = claim_rows(logged.withColumn("event_id", F.col("id")), today)
         store.write("ledger", claims, run_id, batch_id)
         if keep_responses:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paytally import schemas
-from paytally.functions.time import ts_lit
+from paytally.functions.time import GRAINS, cell_parts, ts_lit
 from paytally.operators.lag import late_events
 from paytally.operators.rollup import backfill_cells, board_increments, cells_from_events, coarsen
 from paytally.sources.store import IngestStore, RollupStore
@@ -29,17 +29,22 @@ def unmarked(log: DataFrame, markers: DataFrame) -> DataFrame:
 
 def write_cells(
     store: RollupStore, minute: DataFrame, run_id: str, batch_id: int, now: datetime
-) -> None:
-    """Minute deltas from the events, hour from the minutes written, day from the hours:
-    each level reads the previous one's few rows instead of the events again."""
-    finer = minute
-    for grain in ("minute", "hour", "day"):
-        cells = finer if grain == "minute" else coarsen(finer, grain)
-        dated = cells.withColumns(
-            {"bucket_date": F.to_date("bucket"), "updated_at": ts_lit(now)}
-        )
-        store.write(grain, dated, run_id, batch_id)
-        finer = store.read_batches(grain, [(run_id, batch_id)]).drop("updated_at", "bucket_date")
+) -> int:
+    """Minute deltas from the events, hours from the minutes, days from the hours: each
+    level aggregates the previous one's kept rows instead of the events again. Returns
+    the number of events counted."""
+    levels = [minute.persist(StorageLevel.MEMORY_AND_DISK)]
+    try:
+        for grain in GRAINS:
+            if grain != "minute":
+                cells = coarsen(levels[-1], grain)
+                levels.append(cells.persist(StorageLevel.MEMORY_AND_DISK))
+            dated = cell_parts(levels[-1]).withColumn("updated_at", ts_lit(now))
+            store.write(grain, dated, run_id, batch_id)
+        return levels[-1].agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    finally:
+        for cells in levels:
+            cells.unpersist()
 
 
 def rollup_batch(
@@ -85,15 +90,13 @@ def rollup_batch(
             F.col("id").alias("event_id"), ts_lit(now).alias("processed_at"), "occurred_date"
         )
         rollups.write("markers", processed, run_id, batch_id)
-        write_cells(rollups, cells_from_events(fresh, "minute"), run_id, batch_id, now)
+        new = write_cells(rollups, cells_from_events(fresh, "minute"), run_id, batch_id, now)
         rollups.write("board", board_increments(fresh), run_id, batch_id)
         late = late_events(fresh, ts_lit(now)).withColumn("occurred_date", F.to_date("event_ts"))
         rollups.write("late", late, run_id, batch_id)
-        days = rollups.read_batches("day", [(run_id, batch_id)])
-        new = days.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
         lag = None
         if stats["last_event_ts"] is not None:
-            last = stats["last_event_ts"].replace(tzinfo=timezone.utc)
+            last = stats["last_event_ts"].astimezone(timezone.utc)
             lag = max((now - last).total_seconds(), 0.0)
         rollups.commit(
             run_id,
