@@ -185,13 +185,20 @@ def answer_requests(
     )
     valid = routed.where(F.col("error").isNull())
     zero = F.lit(0).cast("bigint")
-    parts = [routed.select(*REQUEST, *[zero.alias(m) for m in MEASURES])]
-    for grain in GRAINS:
-        chosen = valid.where(F.col("granularity") == grain)
-        found = _sum_over_days(chosen, _range_measures(cells[grain]), grain, spread)
-        parts.append(found.withColumns({"confirmed": zero, "failed": zero}))
-    outcomes = _sum_over_days(valid, _range_measures(cells["hour"]), "hour", spread)
-    parts.append(outcomes.withColumns({"count": zero, "volume_cents": zero}))
+    none = {m: zero for m in MEASURES}
+    grain = F.col("granularity")
+    parts = [routed.withColumns(none)]
+    # At most three hours hold no whole day.
+    minutes = _edge_days(valid.where(grain == "minute"), cells["minute"], "minute", spread)
+    parts.append(minutes.withColumns({"confirmed": zero, "failed": zero}))
+    # Every request takes its outcomes from the hours; hour requests take all of it.
+    hours = _whole_days(valid, cells["hour"], "hour", spread).unionByName(
+        _edge_days(valid, cells["hour"], "hour", spread)
+    )
+    by_hour = {m: F.when(grain == "hour", F.col(m)).otherwise(zero) for m in MEASURES[:2]}
+    parts.append(hours.withColumns(by_hour))
+    days = _whole_days(valid.where(grain == "day"), cells["day"], "day", spread)
+    parts.append(days.withColumns({"confirmed": zero, "failed": zero}))
     answered = reduce(DataFrame.unionByName, parts).groupBy(*REQUEST).agg(
         *[F.sum(m).cast("bigint").alias(m) for m in MEASURES]
     )
@@ -213,28 +220,41 @@ def _range_measures(cells: DataFrame) -> DataFrame:
     )
 
 
-def _sum_over_days(
-    requests: DataFrame, measures: DataFrame, grain: str, spread: dict[str, int]
-) -> DataFrame:
-    """The measures inside each request's range, still one row per day or edge bucket."""
-    key = ["merchant_id", "bucket_date"]
+def _days(requests: DataFrame, grain: str, whole: bool) -> DataFrame:
+    """A row per day that a request covers wholly, or in part."""
     days = requests.withColumn(
         "bucket_date", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
     )
-    day_start = F.col("bucket_date").cast("timestamp")
-    last_bucket = {
-        "minute": day_start + F.expr("INTERVAL '23:59' HOUR TO MINUTE"),
-        "hour": day_start + F.expr("INTERVAL 23 HOUR"),
-        "day": day_start,
+    first = F.col("bucket_date").cast("timestamp")
+    last = {
+        "minute": first + F.expr("INTERVAL '23:59' HOUR TO MINUTE"),
+        "hour": first + F.expr("INTERVAL 23 HOUR"),
+        "day": first,
     }[grain]
-    whole = (F.col("start") <= day_start) & (F.col("end") >= last_bucket)
-    dated = measures.withColumn("bucket_date", F.to_date("bucket"))
-    by_day = dated.groupBy(*key).agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
-    found = spread_join(days.where(whole), by_day, key, "inner", **spread)
-    found = found.select(*REQUEST, *MEASURES)
-    if grain == "day":
-        # A day bucket starts its day: not whole means not in the range.
-        return found
-    edges = spread_join(days.where(~whole), dated, key, "inner", **spread)
-    inside = edges.where(F.col("bucket").between(F.col("start"), F.col("end")))
-    return found.unionByName(inside.select(*REQUEST, *MEASURES))
+    covered = (F.col("start") <= first) & (F.col("end") >= last)
+    return days.where(covered if whole else ~covered)
+
+
+def _whole_days(
+    requests: DataFrame, cells: DataFrame, grain: str, spread: dict[str, int]
+) -> DataFrame:
+    """One pre-summed row per request and whole day."""
+    by_day = (
+        _range_measures(cells)
+        .groupBy("merchant_id", F.to_date("bucket").alias("bucket_date"))
+        .agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
+    )
+    days = _days(requests, grain, whole=True)
+    found = spread_join(days, by_day, ["merchant_id", "bucket_date"], "inner", **spread)
+    return found.select(*REQUEST, *MEASURES)
+
+
+def _edge_days(
+    requests: DataFrame, cells: DataFrame, grain: str, spread: dict[str, int]
+) -> DataFrame:
+    """The single buckets inside a request's first and last day."""
+    dated = _range_measures(cells).withColumn("bucket_date", F.to_date("bucket"))
+    days = _days(requests, grain, whole=False)
+    found = spread_join(days, dated, ["merchant_id", "bucket_date"], "inner", **spread)
+    inside = found.where(F.col("bucket").between(F.col("start"), F.col("end")))
+    return inside.select(*REQUEST, *MEASURES)

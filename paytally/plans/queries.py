@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from paytally.functions.measures import as_uuid
 from paytally.functions.time import (
+    GRAINS,
     bucket,
     event_time,
     lag_seconds,
@@ -69,7 +70,7 @@ def order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.accepted(validate.validate(payments(spark, sf_dir), "long"))
+    return validate.valid_events(payments(spark, sf_dir), "long")
 
 
 def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything ingest would log: valid, of a registered merchant, first of its key."""
     known = validate.known_merchants(valid(spark, sf_dir), registered(spark, sf_dir))
-    return dedup.first_per_key(known, ORDER)
+    return dedup.first_per_key(known.drop("metadata", "currency"), ORDER)
 
 
 def earlier_claims(events: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def event_ids(spark, sf_dir):
 
 @query
 def validate_accept(spark, sf_dir):
-    return valid(spark, sf_dir).select(
+    accepted = validate.accepted(validate.validate(payments(spark, sf_dir), "long"))
+    return accepted.select(
         "id", "merchant_id", "event_type", "amount_cents", "currency", "idempotency_key",
         "client_timestamp", "metadata",
     )
@@ -322,7 +324,7 @@ def leaderboard_increments(spark, sf_dir):
 
 
 def _cells(events: DataFrame) -> dict[str, DataFrame]:
-    return {g: rollup.cells_from_events(events, g) for g in ("minute", "hour", "day")}
+    return {g: rollup.cells_from_events(events, g) for g in GRAINS}
 
 
 def _range(start: str, end: str) -> tuple[datetime, datetime]:
@@ -417,7 +419,7 @@ def metrics_requests_join(spark, sf_dir):
         start.alias("start"),
         F.col("occurred_at").alias("end"),
     )
-    return metrics.answer_requests(requests, _cells(events))
+    return metrics.answer_requests(requests, rollup.rollup_chain(events))
 
 
 @query

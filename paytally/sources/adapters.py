@@ -56,7 +56,7 @@ def payments_from_events(events: DataFrame) -> DataFrame:
         .when(F.col("event_id") % 11 == 0, "usd")
         .otherwise("EUR")
         .alias("currency"),
-        F.concat_ws("-", F.col("user_id"), kind, F.date_format(ts, "yyyy-MM-dd")).alias(
+        F.concat_ws("-", F.col("user_id"), kind, F.to_date(ts)).alias(
             "idempotency_key"
         ),
         ts.alias("occurred_at"),

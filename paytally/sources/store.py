@@ -18,7 +18,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,7 +92,8 @@ class BatchStore:
 
     def is_committed(self, run_id: str, batch_id: int) -> bool:
         path = self.batch_path("commit", run_id, batch_id)
-        return not _read_if_there(self.spark, self.commit_schema, path).isEmpty()
+        where, files = _file_system(self.spark, path)
+        return files.exists(where) and not self.spark.read.parquet(path).isEmpty()
 
     def commit(self, run_id: str, batch_id: int, **row) -> None:
         values = {"src_run": run_id, "src_batch": batch_id, **row}
@@ -310,12 +310,10 @@ def _make_folder(spark: SparkSession, path: str) -> None:
 
 
 def _read_if_there(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    try:
+    where, files = _file_system(spark, path)
+    if files.exists(where):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+    return spark.createDataFrame([], schema)
 
 
 def _either(conditions: list[Column]) -> Column:

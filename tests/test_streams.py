@@ -50,6 +50,8 @@ def traffic(seed, files, per_file):
             rows.append(row)
         yield rows
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 class Jobs:
     def __init__(self, spark, root):
