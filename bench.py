@@ -1,8 +1,8 @@
 """Headline timings on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
 Every query runs once to warm up and is then timed; its result goes to a sink that keeps
-nothing, so all rows and columns are computed. ``store_*`` keys read rollup tables that
-the streaming jobs built; ``raw_*`` keys compute the same answers from the event table.
+nothing, so all rows and columns are computed. ``read_*`` keys read rollup tables that
+the streaming jobs built; ``scan_*`` keys compute the same kind of answer from the events.
 """
 
 from __future__ import annotations
@@ -96,21 +96,21 @@ def main() -> dict:
     events = queries.valid(spark, SF_DIR)
     for name, span in RANGES.items():
         start = END - span
-        results[f"store_metrics_{name}"] = timed(
+        results[f"read_rollup_{name}"] = timed(
             lambda: nightly.metrics_from_store(store, start, END, MERCHANT)
         )
-        results[f"raw_metrics_{name}"] = timed(
+        results[f"scan_events_{name}"] = timed(
             lambda: rollup.raw_totals(events, ts_lit(start), ts_lit(END)).where(
                 f"merchant_id = {MERCHANT}"
             )
         )
-    results["store_all_merchants_7d"] = timed(
+    results["read_rollup_all_merchants_7d"] = timed(
         lambda: metrics.success_rates(
             store.cells("hour", (END - RANGES["7d"]).date(), END.date()), END - RANGES["7d"], END
         )
     )
-    results["store_leaderboard"] = timed(lambda: nightly.serve_leaderboard(store, "2024-01", 10))
-    results["raw_leaderboard"] = timed(
+    results["read_board"] = timed(lambda: nightly.serve_leaderboard(store, "2024-01", 10))
+    results["scan_events_board"] = timed(
         lambda: queries.leaderboard.leaderboard(rollup.cells_from_events(events, "day"), "2024-01")
     )
     return {

@@ -20,8 +20,10 @@ def fits_broadcast(df: DataFrame) -> bool:
     """Catalyst's size estimate against the session's broadcast threshold."""
     spark = df.sparkSession
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    if limit.startswith("-"):
+        return False
     limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    return 0 <= estimated_bytes(df) <= limit_bytes
+    return estimated_bytes(df) <= limit_bytes
 
 
 def lookup_join(

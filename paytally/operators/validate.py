@@ -34,11 +34,12 @@ def _currency() -> Column:
     return F.coalesce(F.col("currency"), F.lit(schemas.DEFAULT_CURRENCY))
 
 
-def _checks(merchant_kind: str) -> dict[str, Column]:
-    """What each field must satisfy; null means a missing required field."""
+def _checks(events: DataFrame, merchant_kind: str) -> dict[str, Column]:
+    """What each field must satisfy; null means a missing required field. A JSON line
+    with one unreadable field is rejected even where that field is optional."""
     metadata = F.col("metadata")
     is_object = F.ltrim(metadata, F.lit(" \t\r\n")).startswith("{")
-    return {
+    checks = {
         "event_type": F.col("event_type").isin(*schemas.EVENT_TYPES),
         "merchant_id": _merchant(merchant_kind).isNotNull(),
         "amount_cents": F.col("amount_cents").between(0, schemas.MAX_AMOUNT),
@@ -46,6 +47,9 @@ def _checks(merchant_kind: str) -> dict[str, Column]:
         "idempotency_key": F.length("idempotency_key").between(1, schemas.MAX_KEY_LENGTH),
         "metadata": metadata.isNull() | (is_object & F.try_parse_json(metadata).isNotNull()),
     }
+    if schemas.CORRUPT in events.columns:
+        checks["record"] = F.col(schemas.CORRUPT).isNull()
+    return checks
 
 
 def validate(events: DataFrame, merchant_kind: str = "uuid") -> DataFrame:
@@ -54,7 +58,8 @@ def validate(events: DataFrame, merchant_kind: str = "uuid") -> DataFrame:
     Needs no shuffle. Rejected rows keep the values they came with, so that a
     quarantine shows what was sent.
     """
-    passed = {name: F.coalesce(ok, F.lit(False)) for name, ok in _checks(merchant_kind).items()}
+    checks = _checks(events, merchant_kind)
+    passed = {name: F.coalesce(ok, F.lit(False)) for name, ok in checks.items()}
     # array_remove compiles; the lambda-based filters of arrays do not.
     reasons = F.array(*[F.when(ok, "").otherwise(name) for name, ok in passed.items()])
     checked = events.withColumn("reject_reasons", F.array_remove(reasons, ""))
@@ -70,7 +75,7 @@ def validate(events: DataFrame, merchant_kind: str = "uuid") -> DataFrame:
 def valid_events(events: DataFrame, merchant_kind: str = "uuid") -> DataFrame:
     """The rows ``validate`` accepts, for readers that need no reasons: a plain filter
     that stops at the first failed check, the JSON parse being the last."""
-    for ok in _checks(merchant_kind).values():
+    for ok in _checks(events, merchant_kind).values():
         events = events.where(ok)
     return events.withColumns(
         {"currency": F.upper(_currency()), "merchant_id": _merchant(merchant_kind)}

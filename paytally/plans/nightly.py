@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions.time import cell_parts, month_bounds, ts_lit
+from paytally.operators.lag import consumer_positions, pipeline_lag
 from paytally.operators.leaderboard import (
     confirmed_volumes,
     leaderboard_from_board,
@@ -35,6 +37,13 @@ def sparkline_from_store(
     return sparkline(rollups.cells("minute", since), as_of, window_minutes, merchant_id)
 
 
+def consumer_status(stores: list[RollupStore], as_of: datetime) -> DataFrame:
+    """Position and lag status of consumers; one that never ran is ``unknown``."""
+    commits = reduce(DataFrame.unionByName, [s.commits() for s in stores])
+    names = stores[0].spark.createDataFrame([(s.consumer_id,) for s in stores], "consumer_id string")
+    return pipeline_lag(consumer_positions(commits), names, as_of)
+
+
 def serve_leaderboard(
     rollups: RollupStore, period: str, n: int = schemas.DEFAULT_TOP_N
 ) -> DataFrame:

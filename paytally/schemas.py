@@ -20,6 +20,8 @@ MAX_TOP_N = 100
 SNAPSHOT_TOP_N = 100
 DEFAULT_PAGE = 1000
 DEFAULT_CONSUMER = "rollup-worker-1"
+# Where the JSON reader leaves the text of a line it could not parse in full.
+CORRUPT = "_corrupt_record"
 
 MERCHANT_TYPES = {"uuid": T.StringType(), "long": T.LongType()}
 
@@ -71,6 +73,7 @@ def quarantine(kind: str) -> T.StructType:
         ("client_timestamp", TS),
         ("metadata", S),
         ("reject_reasons", T.ArrayType(S)),
+        (CORRUPT, S),
         ("quarantined_date", D),
     )
 
@@ -157,7 +160,7 @@ def late_events(kind: str) -> T.StructType:
         ("event_ts", TS),
         ("lag_seconds", T.DoubleType()),
         ("client_delay_s", T.DoubleType()),
-        ("occurred_date", D),
+        ("event_date", D),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from paytally import schemas
 from paytally.session import use_utc
 
-CORRUPT = "_corrupt_record"
+CORRUPT = schemas.CORRUPT
 
 
 def _json_schema() -> T.StructType:

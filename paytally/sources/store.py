@@ -155,26 +155,34 @@ class BatchStore:
     def pending(self, name: str) -> list[tuple[str, int]]:
         """Committed batches not folded into the table's base: metadata rows, kept few by
         regular folding."""
-        folded = self._folds(name).where(F.col("run_id").isNotNull())
-        rows = (
-            self.commits()
-            .select(F.col("src_run").alias("run_id"), F.col("src_batch").alias("batch_id"))
-            .join(folded.select("run_id", "batch_id"), ["run_id", "batch_id"], "left_anti")
-            .collect()
+        batches = self.commits().select(
+            F.col("src_run").alias("run_id"), F.col("src_batch").alias("batch_id")
         )
-        return sorted((r["run_id"], r["batch_id"]) for r in rows)
-
-    def base_parts(self, name: str) -> dict[str, int]:
-        """Newest live version of every part: one entry per day or month."""
+        if self._ever_folded(name):
+            folded = self._folds(name).where(F.col("run_id").isNotNull())
+            keys = ["run_id", "batch_id"]
+            batches = batches.join(folded.select(*keys), keys, "left_anti")
+        return sorted((r["run_id"], r["batch_id"]) for r in batches.collect())
+
+    def _ever_folded(self, name: str) -> bool:
+        return bool(_children(self.spark, f"{self.root}/fold/{name}", "version="))
+
+    def base_state(self, name: str) -> tuple[dict[str, int], int]:
+        """Newest live version of every part (one entry per day or month), and the number
+        the next version gets."""
+        if not self._ever_folded(name):
+            return {}, 0
         rows = (
             self._folds(name)
-            .where(F.col("part").isNotNull())
             .groupBy("part")
             .agg(F.max("version").alias("version"), F.max_by("dropped", "version").alias("dropped"))
-            .where(~F.col("dropped"))
             .collect()
         )
-        return {r["part"]: r["version"] for r in rows}
+        live = {r["part"]: r["version"] for r in rows if r["part"] is not None and not r["dropped"]}
+        return live, max((r["version"] for r in rows), default=-1) + 1
+
+    def base_parts(self, name: str) -> dict[str, int]:
+        return self.base_state(name)[0]
 
     def _base_files(self, name: str, parts: dict[str, int]) -> DataFrame:
         table = self.tables[name]
@@ -234,9 +242,7 @@ class BatchStore:
         """
         table = self.tables[name]
         batches = self.pending(name)
-        known = self.base_parts(name)
-        last = self._folds(name).agg(F.max("version")).first()[0]
-        version = 0 if last is None else last + 1
+        known, version = self.base_state(name)
         part = F.col(table.part)
         deltas = self._pending_files(name, batches)
         touched = {str(r[0]) for r in deltas.select(part).distinct().collect()}
@@ -408,7 +414,7 @@ class RollupStore(BatchStore):
                 Table("markers", schemas.MARKER, "occurred_date", ("event_id",)),
                 *cells,
                 Table("board", schemas.board(merchant_kind), "period", ("merchant_id",), merge_board),
-                Table("late", schemas.late_events(merchant_kind), "occurred_date", ("event_id",)),
+                Table("late", schemas.late_events(merchant_kind), "event_date", ("event_id",)),
             ],
             schemas.ROLLUP_COMMIT,
         )

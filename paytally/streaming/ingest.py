@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paytally import schemas
 from paytally.functions.time import event_time, ts_lit
 from paytally.operators.dedup import claim, claim_rows, responses, with_event_id
 from paytally.operators.validate import accepted, flag_unknown_merchants, rejected, validate
@@ -55,6 +56,8 @@ def ingest_batch(
     try:
         today = F.lit(now.date())
         bad = rejected(checked).withColumn("quarantined_date", today)
+        if schemas.CORRUPT not in bad.columns:
+            bad = bad.withColumn(schemas.CORRUPT, F.lit(None).cast("string"))
         store.write("quarantine", bad, run_id, batch_id)
         good = accepted(checked)
         ledger = store.ledger(horizon_start)

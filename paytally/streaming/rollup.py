@@ -92,7 +92,7 @@ def rollup_batch(
         rollups.write("markers", processed, run_id, batch_id)
         new = write_cells(rollups, cells_from_events(fresh, "minute"), run_id, batch_id, now)
         rollups.write("board", board_increments(fresh), run_id, batch_id)
-        late = late_events(fresh, ts_lit(now)).withColumn("occurred_date", F.to_date("event_ts"))
+        late = late_events(fresh, ts_lit(now)).withColumn("event_date", F.to_date("event_ts"))
         rollups.write("late", late, run_id, batch_id)
         lag = None
         if stats["last_event_ts"] is not None:

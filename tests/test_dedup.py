@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helpers import T0
 from paytally import schemas
 from paytally.operators import dedup
-from paytally.operators.joins import lookup_join, spread_join
+from paytally.operators.joins import fits_broadcast, lookup_join, spread_join
 
 ROW = "idempotency_key string, seq long, occurred_at timestamp, event_type string"
 
@@ -108,6 +108,10 @@ def test_hot_rows_are_split_over_tasks(spark):
 
 
 def test_lookup_join_without_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert not fits_broadcast(spark.range(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert fits_broadcast(spark.range(1))
     left = events(spark, "aab")
     right = spark.createDataFrame([("a", 1)], "idempotency_key string, other int")
     joined = lookup_join(left, right, ["idempotency_key"], "left", hot_rows=1, spread_bytes=0)

@@ -130,7 +130,11 @@ def test_position_and_empty_log(spark, ingest, rollups):
     assert state(rollups) == {"minute": {}, "hour": {}, "day": {}}
     assert rollups.commits().where("last_event_at is not null").isEmpty()
     send(spark, ingest, [("a", M, 1, T0)], 0)
+    status = nightly.consumer_status([rollups], T0)
+    assert [r["status"] for r in status.collect()] == ["unknown"]
     roll(rollups, ingest, "r1", 1, now=T0 + timedelta(seconds=90))
+    status = nightly.consumer_status([rollups], T0 + timedelta(seconds=31)).first()
+    assert (status["lag_seconds"], status["status"]) == (31.0, "degraded")
     row = rollups.commits().where("src_batch = 1").first()
     assert row["last_event_id"] == ingest.log().first()["id"]
     assert row["lag_seconds"] == 90.0

@@ -76,6 +76,16 @@ def test_every_reason_is_named(spark):
     assert row["reject_reasons"] == ["merchant_id", "amount_cents", "currency"]
 
 
+def test_filter_keeps_what_validation_accepts(spark):
+    rows = [event(), event(currency="usd"), event(currency=None), event(amount_cents=-1),
+            event(merchant_id="x"), event(merchant_id=M.upper()), event(metadata="{"),
+            event(idempotency_key=None), event(metadata=' {"a": 1}')]
+    events = spark.createDataFrame(rows, schemas.PRODUCER_EVENT)
+    kept = v.valid_events(events).collect()
+    assert len(kept) == 5
+    assert sorted(map(str, kept)) == sorted(map(str, v.accepted(v.validate(events)).collect()))
+
+
 def test_unknown_merchants(spark):
     events = producer(spark, [("a", M, 1, None), ("b", GHOST, 1, None), ("c", "bad", 1, None)])
     validated = v.validate(events)
@@ -96,12 +106,15 @@ def test_json_lines(spark, tmp_path):
                     "idempotency_key": "j", "client_timestamp": "2026-05-12T14:30:00Z",
                     "metadata": {"a": {"b": 1}}}),
         '{"event_type": "PAYMENT_FAILED", "merchant_id": ',
+        json.dumps({"event_type": "PAYMENT_FAILED", "merchant_id": M, "amount_cents": 7,
+                    "idempotency_key": "bad time", "client_timestamp": "yesterday"}),
     ]
     (tmp_path / "a.json").write_text("\n".join(lines))
     rows = read_producer_json(spark, str(tmp_path)).cache()
     good = rows.where(F.col(CORRUPT).isNull()).first()
     assert json.loads(good["metadata"]) == {"a": {"b": 1}}
     assert good["client_timestamp"].hour == 14
-    assert [r[0] for r in corrupt_lines(rows).collect()] == [lines[1]]
-    reasons = [r["reject_reasons"] for r in v.rejected(v.validate(rows)).collect()]
-    assert len(reasons) == 1 and "idempotency_key" in reasons[0]
+    assert {r[0] for r in corrupt_lines(rows).collect()} == set(lines[1:])
+    reasons = {r["idempotency_key"]: r["reject_reasons"] for r in v.rejected(v.validate(rows)).collect()}
+    assert reasons["bad time"] == ["record"] and "idempotency_key" in reasons[None]
+    assert [r["idempotency_key"] for r in v.valid_events(rows).collect()] == ["j"]
