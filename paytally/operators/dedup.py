@@ -35,9 +35,11 @@ def existing_claims(keys: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def claim(events: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
-    """Rows that win their key: first within the batch, and not yet in the ledger."""
-    firsts = first_per_key(with_event_id(events), order)
-    return firsts.join(existing_claims(firsts, ledger).select(KEY), KEY, "left_anti")
+    """Rows that win their key: first within the batch, and not yet in the ledger. Ids
+    are derived last, so that the shuffle does not carry them."""
+    firsts = first_per_key(events, order)
+    taken = existing_claims(firsts, ledger).select(KEY)
+    return with_event_id(firsts.join(taken, KEY, "left_anti"))
 
 
 def claim_rows(claimed: DataFrame, claim_date: Column) -> DataFrame:

@@ -86,8 +86,8 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def earlier_claims(events: DataFrame) -> DataFrame:
     """The ledger after the first half of January was ingested."""
     before = events.where(F.col("occurred_at") < ts_lit("2024-01-16"))
-    firsts = dedup.first_per_key(dedup.with_event_id(before), ORDER)
-    return dedup.claim_rows(firsts, F.to_date("occurred_at"))
+    firsts = dedup.first_per_key(before, ORDER)
+    return dedup.claim_rows(dedup.with_event_id(firsts), F.to_date("occurred_at"))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paytally import schemas
 from paytally.functions.time import event_time, ts_lit
-from paytally.operators.dedup import claim, claim_rows, responses, with_event_id
+from paytally.operators.dedup import claim, claim_rows, responses
 from paytally.operators.validate import accepted, flag_unknown_merchants, rejected, validate
 from paytally.sources.store import IngestStore
 
@@ -74,7 +74,7 @@ def ingest_batch(
         claims = claim_rows(logged.withColumn("event_id", F.col("id")), today)
         store.write("ledger", claims, run_id, batch_id)
         if keep_responses:
-            answered = responses(with_event_id(good), ledger, order)
+            answered = responses(good, ledger, order)
             store.write("responses", answered.withColumn("received_date", today), run_id, batch_id)
         position = F.struct("occurred_at", "id")
         stats = logged.agg(
