@@ -167,11 +167,11 @@ def answer_requests(
 ) -> DataFrame:
     """Totals and success rate for a table of ``(request_id, merchant_id, start, end)``.
 
-    Each request is cut into the days it touches and meets the cells by
-    (merchant, day). Whole days read one pre-summed row, only the first and last day
-    read single buckets: the work per request is its days plus two days of buckets,
-    and a hot merchant's requests are spread over days and salts. A request outside
-    the limits of ``check_range`` comes back with ``error`` set and null totals.
+    Each request is cut into the days it touches and meets the cells in one join by
+    (merchant, day, kind of cell). Whole days read one pre-summed row, only the first
+    and last day read single buckets: the work per request is its days plus two days of
+    buckets, and a hot merchant's requests are spread over days and salts. A request
+    outside the limits of ``check_range`` comes back with ``error`` set and null totals.
     """
     start, end = F.col("start"), F.col("end")
     whole_days = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 86_400_000_000)
@@ -183,26 +183,26 @@ def answer_requests(
         F.when(error.isNull(), grain_of(start, end)).alias("granularity"),
         error.alias("error"),
     )
-    valid = routed.where(F.col("error").isNull())
+    ok = F.col("error").isNull()
+    found = spread_join(
+        _day_reads(routed.where(ok)), _day_cells(cells), ["merchant_id", "bucket_date", "kind"],
+        "inner", **spread,
+    )
+    whole = F.col("kind").isin("day", "hours of day")
+    inside = found.where(whole | F.col("bucket").between(start, end))
+    # Outcomes come from the hours whatever the granularity, totals from its own cells.
+    from_hours = F.col("kind").isin("hour", "hours of day")
+    own = ~from_hours | (F.col("granularity") == "hour")
     zero = F.lit(0).cast("bigint")
-    none = {m: zero for m in MEASURES}
-    grain = F.col("granularity")
-    parts = [routed.withColumns(none)]
-    # At most three hours hold no whole day.
-    minutes = _edge_days(valid.where(grain == "minute"), cells["minute"], "minute", spread)
-    parts.append(minutes.withColumns({"confirmed": zero, "failed": zero}))
-    # Every request takes its outcomes from the hours; hour requests take all of it.
-    hours = _whole_days(valid, cells["hour"], "hour", spread).unionByName(
-        _edge_days(valid, cells["hour"], "hour", spread)
+    measured = inside.select(
+        *REQUEST,
+        *[F.when(own, F.col(m)).otherwise(zero).alias(m) for m in ("count", "volume_cents")],
+        *[F.when(from_hours, F.col(m)).otherwise(zero).alias(m) for m in ("confirmed", "failed")],
     )
-    by_hour = {m: F.when(grain == "hour", F.col(m)).otherwise(zero) for m in MEASURES[:2]}
-    parts.append(hours.withColumns(by_hour))
-    days = _whole_days(valid.where(grain == "day"), cells["day"], "day", spread)
-    parts.append(days.withColumns({"confirmed": zero, "failed": zero}))
-    answered = reduce(DataFrame.unionByName, parts).groupBy(*REQUEST).agg(
+    silent = routed.withColumns({m: zero for m in MEASURES})
+    answered = silent.unionByName(measured).groupBy(*REQUEST).agg(
         *[F.sum(m).cast("bigint").alias(m) for m in MEASURES]
     )
-    ok = F.col("error").isNull()
     return answered.select(
         *REQUEST,
         F.when(ok, F.col("volume_cents")).alias("total_volume_cents"),
@@ -211,50 +211,45 @@ def answer_requests(
     )
 
 
-def _range_measures(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("merchant_id", "bucket").agg(
-        F.sum("count").cast("bigint").alias("count"),
-        F.sum("amount_sum_cents").cast("bigint").alias("volume_cents"),
-        sum_where(schemas.CONFIRMED).alias("confirmed"),
-        sum_where(schemas.FAILED).alias("failed"),
-    )
-
-
-def _days(requests: DataFrame, grain: str, whole: bool) -> DataFrame:
-    """A row per day that a request covers wholly, or in part."""
+def _day_reads(requests: DataFrame) -> DataFrame:
+    """A row per request, day it touches and kind of cell it needs there: hours always,
+    minutes or days by its granularity. A day bucket starts its day, so a first day that
+    begins earlier than the request needs none."""
     days = requests.withColumn(
         "bucket_date", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
     )
     first = F.col("bucket_date").cast("timestamp")
-    last = {
-        "minute": first + F.expr("INTERVAL '23:59' HOUR TO MINUTE"),
-        "hour": first + F.expr("INTERVAL 23 HOUR"),
-        "day": first,
-    }[grain]
-    covered = (F.col("start") <= first) & (F.col("end") >= last)
-    return days.where(covered if whole else ~covered)
+    from_first = F.col("start") <= first
+    covered = from_first & (F.col("end") >= first + F.expr("INTERVAL 23 HOUR"))
+    grain = F.col("granularity")
+    hours = F.when(covered, "hours of day").otherwise("hour")
+    own = F.when(grain == "minute", "minute").when((grain == "day") & from_first, "day")
+    return days.withColumn("kind", F.explode(F.array(hours, own))).where(
+        F.col("kind").isNotNull()
+    )
 
 
-def _whole_days(
-    requests: DataFrame, cells: DataFrame, grain: str, spread: dict[str, int]
-) -> DataFrame:
-    """One pre-summed row per request and whole day."""
-    by_day = (
-        _range_measures(cells)
-        .groupBy("merchant_id", F.to_date("bucket").alias("bucket_date"))
+def _day_cells(cells: dict[str, DataFrame]) -> DataFrame:
+    """The cells that ``_day_reads`` names, keyed by merchant, day and kind."""
+    by_grain = {
+        g: _range_measures(cells[g]).withColumn("bucket_date", F.to_date("bucket")) for g in GRAINS
+    }
+    hours_of_day = (
+        by_grain["hour"]
+        .groupBy("merchant_id", "bucket_date")
         .agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
+        .withColumn("bucket", F.col("bucket_date").cast("timestamp"))
+    )
+    kinds = [rows.withColumn("kind", F.lit(g)) for g, rows in by_grain.items()]
+    return reduce(
+        DataFrame.unionByName, [*kinds, hours_of_day.withColumn("kind", F.lit("hours of day"))]
     )
-    days = _days(requests, grain, whole=True)
-    found = spread_join(days, by_day, ["merchant_id", "bucket_date"], "inner", **spread)
-    return found.select(*REQUEST, *MEASURES)
 
 
-def _edge_days(
-    requests: DataFrame, cells: DataFrame, grain: str, spread: dict[str, int]
-) -> DataFrame:
-    """The single buckets inside a request's first and last day."""
-    dated = _range_measures(cells).withColumn("bucket_date", F.to_date("bucket"))
-    days = _days(requests, grain, whole=False)
-    found = spread_join(days, dated, ["merchant_id", "bucket_date"], "inner", **spread)
-    inside = found.where(F.col("bucket").between(F.col("start"), F.col("end")))
-    return inside.select(*REQUEST, *MEASURES)
+def _range_measures(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("merchant_id", "bucket").agg(
+        F.sum("count").cast("bigint").alias("count"),
+        F.sum("amount_sum_cents").cast("bigint").alias("volume_cents"),
+        sum_where(schemas.CONFIRMED).alias("confirmed"),
+        sum_where(schemas.FAILED).alias("failed"),
+    )
