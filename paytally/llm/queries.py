@@ -7,12 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paytally.llm import decontaminate, mixing, simhash, token_shards, toxicity
+from paytally.llm import (
+    decontaminate,
+    html_text,
+    lattice,
+    licence,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    token_shards,
+    toxicity,
+)
 from paytally.llm.common import ship, table
 from paytally.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +35,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.documents(spark, path)
 
 
+def op2_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licence.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
@@ -34,18 +51,51 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
+def op9_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_shards, op3_toxicity, op4_simhash, op8_mixing, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_token_shards,
+        op2_licence,
+        op3_toxicity,
+        op4_simhash,
+        op5_neighbours,
+        op6_html_text,
+        op7_quality,
+        op8_mixing,
+        op9_lattice,
+        op10_decontaminate,
+    )
 }
 
 SQL: dict[str, str] = {
