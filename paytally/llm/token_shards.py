@@ -69,8 +69,8 @@ def unpack(packed: bytes, bits: int, first: int = 0, count: int | None = None) -
 
 
 _encoders: dict[tuple, WordEncoder] = {}
-# A letter run, then an ASCII sign other than an apostrophe: the tokenizer always cuts there.
-_LETTERS_THEN_SIGN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~].*)", re.DOTALL)
+# Between a letter and an ASCII sign other than an apostrophe the tokenizer always cuts.
+_CUT = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
 
 
 class WordEncoder:
@@ -81,13 +81,12 @@ class WordEncoder:
     when it holds ``most_words`` words. Without it every text is encoded whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True, most_words: int = 300_000):
+    def __init__(self, path: str, by_word: bool = True, most_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.by_word = by_word
         self.most_words = most_words
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         one = self._whole("1")
         self.separator = int(np.frombuffer(one, "<u4")[0]) if len(one) == 4 else None
@@ -108,7 +107,7 @@ class WordEncoder:
             return b""
         if not self.by_word or any(s in text for s in self.special):
             return self._whole(text)
-        words = text.encode().split()
+        words = _CUT.sub(b" ", text.encode().lower()).split()  # the tokenizer lowers A-Z as well
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
@@ -118,34 +117,20 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.words) > self.most_words:
             self.words.clear()
-        if len(self.parts) > self.most_words:
-            self.parts.clear()
-        split, missing = {}, {}
-        for word in set(words):
-            if word not in self.words:
-                text = word.lower().decode()  # the tokenizer lowers A-Z as well
-                cut = _LETTERS_THEN_SIGN.fullmatch(text)
-                split[word] = parts = cut.groups() if cut else (text,)
-                missing.update((p, None) for p in parts if p not in self.parts)
-        self._encode_parts(list(missing))
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        # Digits stand alone in this tokenizer, so many parts without digits pass in one call.
-        plain = [p for p in parts if p.isalpha() or (p.isascii() and not any(c.isdigit() for c in p))]
-        if self.separator is None:
-            plain = []
+        missing = list(set(words).difference(self.words))
+        # A digit is always a token of its own here, so words without a 1 pass in one call, 1s between them.
+        plain = [w for w in missing if b"1" not in w] if self.separator is not None else []
         for start in range(0, len(plain), 256):
             some = plain[start : start + 256]
-            ids = np.frombuffer(self._whole("1".join(some)), "<u4")
+            ids = np.frombuffer(self._whole(b"1".join(some).decode()), "<u4")
             cuts = np.flatnonzero(ids == self.separator)
             if len(cuts) == len(some) - 1:
-                begins, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-                self.parts.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, begins, ends))
-        for part in parts:
-            if part not in self.parts:
-                self.parts[part] = self._whole(part)
+                begins, ends = [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(ids) * 4]
+                whole = ids.tobytes()
+                self.words.update((w, whole[a:b]) for w, a, b in zip(some, begins, ends))
+        for word in missing:
+            if word not in self.words:
+                self.words[word] = self._whole(word.decode())
 
 
 def write(
