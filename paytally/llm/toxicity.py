@@ -105,38 +105,33 @@ def _histories(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_model(words: list[str], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER) -> KneserNey:
     """The ratio model from words with their counts in toxic and in ordinary texts."""
-    text = "\n" + "".join(w + "\n" for w in words)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    word_of = (np.cumsum(codes == _EDGE) - 1 - (codes == _EDGE))[1:]
-    counts = [np.asarray(c, np.float64)[word_of] for c in (toxic, ordinary)]
-    pooled = counts[0] + counts[1]
-    levels = []
-    for length in range(order):
-        histories, edge = _histories(codes, length)
-        grams = _mix(histories, codes)[1:]
-        levels.append((histories[1:], grams, edge[1:]))
-    shared = np.full(len(codes) - 1, 1.0 / max(1, len(np.unique(codes))))
+    codes, histories, word_of = _positions(words, order)
+    gram, first, gram_of = np.unique(_mix(histories, codes), return_index=True, return_inverse=True)
+    counts = [np.bincount(gram_of, np.asarray(c, np.float64)[word_of], len(gram)) for c in (toxic, ordinary)]
+    full = histories[first]
+    del histories, word_of, gram_of
+    # Shorter histories follow from the longest, so one position stands for all of its gram.
+    codes = np.concatenate([np.full(1, _EDGE, np.uint64), codes])
+    shared = np.full(len(gram), 1.0 / max(1, len(np.unique(codes))))
     for length in range(order - 1):
-        histories, grams, edge = levels[length]
-        longer = levels[length + 1][1]
-        _, first, gram_of = np.unique(grams, return_index=True, return_inverse=True)
+        histories, edge = (a[first + 1] for a in _histories(codes, length))
+        shorter = _mix(histories, codes[first + 1])
+        longer = _mix(_histories(codes, length + 1)[0][first + 1], codes[first + 1])
+        _, at, of = np.unique(shorter, return_index=True, return_inverse=True)
         _, one_longer = np.unique(longer, return_index=True)
-        kinds = np.bincount(gram_of[one_longer], minlength=len(first)).astype(np.float64)
+        kinds = np.bincount(of[one_longer], minlength=len(at)).astype(np.float64)
         # A history that begins at the word's edge cannot be extended: its plain counts are used.
-        count = np.where(edge[first], np.bincount(gram_of, pooled, len(first)), kinds)
-        shared = _interpolate(histories, gram_of, first, count, shared)
-    histories, grams, _ = levels[-1]
-    gram, first, gram_of = np.unique(grams, return_index=True, return_inverse=True)
-    history, history_of = np.unique(histories[first], return_inverse=True)
+        count = np.where(edge[at], np.bincount(of, counts[0] + counts[1], len(at)), kinds)
+        shared = _interpolate(histories, of, at, count, shared)
+    history, history_of = np.unique(full, return_inverse=True)
     likelihood, left = [], []
-    for count in counts:
-        of_gram = np.bincount(gram_of, count, len(gram))
+    for of_gram in counts:
         total = np.bincount(history_of, of_gram, len(history))
         seen = np.bincount(history_of, of_gram > 0, len(history))
         known = total > 0
         weight = np.where(known, DISCOUNT * seen / np.maximum(total, 1), 1.0)
         own = np.maximum(of_gram - DISCOUNT, 0) / np.maximum(total[history_of], 1)
-        likelihood.append(own + weight[history_of] * shared[first])
+        likelihood.append(own + weight[history_of] * shared)
         left.append(weight)
     return KneserNey(
         gram, np.log(likelihood[0] / likelihood[1]), history, np.log(left[0] / left[1])
