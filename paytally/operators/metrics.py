@@ -7,7 +7,7 @@ left out, and a success rate over less than an hour may see no cells.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -148,12 +148,14 @@ def merchant_metrics(
 def sparkline(
     minute_cells: DataFrame, as_of: datetime | str, window_minutes: int = 60, merchant_id=None
 ) -> DataFrame:
-    """Per-minute count and volume since ``as_of - window``; empty minutes are absent."""
+    """Per-minute count and volume from ``as_of - window`` to ``as_of``; empty minutes are absent."""
     if not 5 <= window_minutes <= 1440:
         raise ValueError("window_minutes must be in 5..1440")
-    since = utc(as_of) - timedelta(minutes=window_minutes)
-    chosen = within_days(_of(minute_cells, merchant_id), since.date(), date.max)
-    chosen = chosen.where(F.col("bucket") >= minutes_before(ts_lit(as_of), window_minutes))
+    until = utc(as_of)
+    since = until - timedelta(minutes=window_minutes)
+    chosen = within_days(_of(minute_cells, merchant_id), since.date(), until.date())
+    first = minutes_before(ts_lit(as_of), window_minutes)
+    chosen = chosen.where(F.col("bucket").between(first, ts_lit(as_of)))
     keys = _keys(merchant_id)
     return per_bucket(chosen, *keys).orderBy("bucket", *keys)
 

@@ -47,36 +47,42 @@ def consumer_status(stores: list[RollupStore], as_of: datetime) -> DataFrame:
 def serve_leaderboard(
     rollups: RollupStore, period: str, n: int = schemas.DEFAULT_TOP_N
 ) -> DataFrame:
-    """The materialised board; a missing month is rebuilt from the day rollup first, with
-    all its merchants, so that a later larger ``n`` is complete."""
+    """The materialised board; a missing month is computed from the day rollup and not
+    stored, so that reading never writes. ``rebuild_board`` stores it."""
     board = rollups.read("board", period, period)
     if not board.isEmpty():
         return leaderboard_from_board(board, period, n)
-    rebuild_board(rollups, period)
-    rebuilt = leaderboard_from_board(rollups.read("board", period, period), period, n)
-    return rebuilt.withColumn("source", F.lit("rollup_day"))
+    computed = leaderboard_from_board(_board_rows(rollups, period), period, n)
+    return computed.withColumn("source", F.lit("rollup_day"))
 
 
-def rebuild_board(rollups: RollupStore, period: str) -> None:
+def _board_rows(rollups: RollupStore, period: str, committed=None) -> DataFrame:
     start, end = month_bounds(period)
-    days = rollups.cells("day", start.date(), (end - timedelta(days=1)).date())
-    volumes = confirmed_volumes(days, start, end).withColumn("period", F.lit(period))
-    rollups.fold("board", replacement=volumes, parts=[period])
+    days = rollups.cells("day", start.date(), (end - timedelta(days=1)).date(), committed)
+    return confirmed_volumes(days, start, end).withColumn("period", F.lit(period))
+
+
+def rebuild_board(rollups: RollupStore, period: str) -> None:
+    """Store a month's board anew from the day rollup of the batches committed so far."""
+    committed = rollups.committed()
+    rows = _board_rows(rollups, period, committed)
+    rollups.fold("board", replacement=rows, parts=[period], committed=committed)
 
 
 def compact_day(rollups: RollupStore, day: date, now: datetime | None = None) -> DataFrame:
     """Replace a date's day cells by the sums of its hours. Returns the discrepancies as
     they were before, at most ten rows, already computed."""
     now = now or datetime.now(timezone.utc)
-    hours = rollups.cells("hour", day, day)
+    committed = rollups.committed()  # a batch committed from here on stays pending in the day table
+    hours = rollups.cells("hour", day, day, committed)
     key = f"{day:%Y-%m}"
-    month = rollups.read("day", key, key)
+    month = rollups.read("day", key, key, committed)
     found = discrepancies(month, hours, day)
     before = rollups.spark.createDataFrame(found.collect(), found.schema)
     canonical = cell_parts(day_from_hours(hours.drop("updated_at"), day))
     others = month.where(F.to_date("bucket") != F.lit(day))
     replaced = canonical.withColumn("updated_at", ts_lit(now)).select(*others.columns)
-    rollups.fold("day", others.unionByName(replaced), [key])
+    rollups.fold("day", others.unionByName(replaced), [key], committed=committed)
     return before
 
 

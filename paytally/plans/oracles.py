@@ -343,7 +343,9 @@ SELECT request_id, merchant_id, "start", "end", granularity, error,
   CASE WHEN error IS NULL THEN coalesce(n, 0) END AS total_count, {RATE} AS success_rate
 FROM routed LEFT JOIN found USING (request_id) LEFT JOIN rates USING (request_id)"""
 
-DAY_BEFORE = "bucket >= TIMESTAMP '2024-01-20 12:00' - INTERVAL 1440 MINUTE"
+DAY_BEFORE = (
+    "bucket BETWEEN TIMESTAMP '2024-01-20 12:00' - INTERVAL 1440 MINUTE AND TIMESTAMP '2024-01-20 12:00'"
+)
 SQL["sparkline"] = f"WITH {VALID_MINUTE}" + bucket_sums("merchant_id,", "cells_minute", DAY_BEFORE)
 SQL["sparkline_one_merchant"] = f"WITH {VALID_MINUTE}" + bucket_sums(
     "", "cells_minute", DAY_BEFORE + " AND merchant_id = 42"

@@ -630,7 +630,7 @@ def stream_ingest_log(spark, sf_dir):
 def stream_ingest_responses(spark, sf_dir):
     root = shared_dir(spark, "stream-responses")
     store = run_ingest(spark, sf_dir, root, keep_responses=True)
-    return store.read_committed("responses").groupBy("idempotency_key", "event_id").agg(
+    return store.read("responses").groupBy("idempotency_key", "event_id").agg(
         F.count_if("duplicate").alias("duplicates"),
         F.count("*").alias("submitted"),
         F.min("occurred_at").alias("occurred_at"),
@@ -640,7 +640,7 @@ def stream_ingest_responses(spark, sf_dir):
 @query
 def stream_quarantine(spark, sf_dir):
     root = shared_dir(spark, "stream-quarantine")
-    rows = run_ingest(spark, sf_dir, root).read_committed("quarantine")
+    rows = run_ingest(spark, sf_dir, root).read("quarantine")
     return rows.groupBy(
         F.array_join("reject_reasons", ",").alias("reject_reasons"),
         "event_type",

@@ -93,7 +93,8 @@ class BatchStore:
     def is_committed(self, run_id: str, batch_id: int) -> bool:
         path = self.batch_path("commit", run_id, batch_id)
         where, files = _file_system(self.spark, path)
-        return files.exists(where) and not self.spark.read.parquet(path).isEmpty()
+        # With the schema given, a folder that holds only a torn write's leftovers reads as empty.
+        return files.exists(where) and not self.spark.read.schema(self.commit_schema).parquet(path).isEmpty()
 
     def commit(self, run_id: str, batch_id: int, **row) -> None:
         values = {"src_run": run_id, "src_batch": batch_id, **row}
@@ -129,19 +130,6 @@ class BatchStore:
         path = self.batch_path(name, run_id, batch_id)
         return _read_if_there(self.spark, self.tables[name].schema, path)
 
-    def read_committed(
-        self, name: str, start: date | str | None = None, end: date | str | None = None
-    ) -> DataFrame:
-        """All committed rows of a table that is never folded, pruned by part."""
-        table = self.tables[name]
-        rows = self._files(name).where(_between(F.col(table.part), start, end))
-        batches = self.commits().select(
-            F.col("src_run").alias("run_id"), F.col("src_batch").alias("batch_id")
-        )
-        return rows.join(batches, ["run_id", "batch_id"], "left_semi").select(
-            *table.schema.fieldNames()
-        )
-
     # Folded tables
 
     def _folds(self, name: str) -> DataFrame:
@@ -152,7 +140,15 @@ class BatchStore:
             .where(F.col("version").isNotNull())
         )
 
-    def pending(self, name: str) -> list[tuple[str, int]]:
+    def committed(self) -> set[tuple[str, int]]:
+        """The batches committed so far. Reads and folds that are given one such set agree,
+        whatever is committed meanwhile."""
+        rows = self.commits().select("src_run", "src_batch").collect()
+        return {(r["src_run"], r["src_batch"]) for r in rows}
+
+    def pending(
+        self, name: str, committed: set[tuple[str, int]] | None = None
+    ) -> list[tuple[str, int]]:
         """Committed batches not folded into the table's base: metadata rows, kept few by
         regular folding."""
         batches = self.commits().select(
@@ -162,7 +158,8 @@ class BatchStore:
             folded = self._folds(name).where(F.col("run_id").isNotNull())
             keys = ["run_id", "batch_id"]
             batches = batches.join(folded.select(*keys), keys, "left_anti")
-        return sorted((r["run_id"], r["batch_id"]) for r in batches.collect())
+        found = sorted((r["run_id"], r["batch_id"]) for r in batches.collect())
+        return found if committed is None else [b for b in found if b in committed]
 
     def _ever_folded(self, name: str) -> bool:
         return bool(_children(self.spark, f"{self.root}/fold/{name}", "version="))
@@ -207,7 +204,11 @@ class BatchStore:
         return self._files(name).where(chosen).select(*self.tables[name].schema.fieldNames())
 
     def read(
-        self, name: str, start: date | str | None = None, end: date | str | None = None
+        self,
+        name: str,
+        start: date | str | None = None,
+        end: date | str | None = None,
+        committed: set[tuple[str, int]] | None = None,
     ) -> DataFrame:
         """Base and pending batches, merged. ``start``/``end`` (inclusive) prune parts.
 
@@ -221,7 +222,7 @@ class BatchStore:
             if (start is None or p >= str(start)) and (end is None or p <= str(end))
         }
         base = self._base_files(name, parts)
-        batches = self.pending(name)
+        batches = self.pending(name, committed)
         if not batches:
             return base
         deltas = self._pending_files(name, batches).where(_between(F.col(table.part), start, end))
@@ -234,14 +235,17 @@ class BatchStore:
         replacement: DataFrame | None = None,
         parts: list[str] | None = None,
         drop_before: date | str | None = None,
+        committed: set[tuple[str, int]] | None = None,
     ) -> int:
         """Merge pending batches into a new base version and return its number.
 
         Only parts that pending batches touch are rewritten. ``replacement`` supplies the
-        whole content of ``parts``. Parts before ``drop_before`` are dropped.
+        whole content of ``parts``; it must come from reads of the same ``committed`` set,
+        so that a batch committed meanwhile stays pending. Parts before ``drop_before`` are
+        dropped. Fails if another fold of the table publishes a version meanwhile.
         """
         table = self.tables[name]
-        batches = self.pending(name)
+        batches = self.pending(name, committed)
         known, version = self.base_state(name)
         part = F.col(table.part)
         deltas = self._pending_files(name, batches)
@@ -270,6 +274,8 @@ class BatchStore:
             + [(None, None, p, False, version) for p in sorted(live)]
             + [(None, None, p, True, version) for p in sorted(gone)]
         )
+        if self.base_state(name)[1] != version:
+            raise RuntimeError(f"another fold of {name} published version {version}")
         if record:
             (
                 self.spark.createDataFrame(record, FOLD)
@@ -379,7 +385,7 @@ class IngestStore(BatchStore):
         )
 
     def log(self, start: date | None = None, end: date | None = None) -> DataFrame:
-        return self.read_committed("log", start, end)
+        return self.read("log", start, end)
 
     def ledger(self, since: date | None = None) -> DataFrame:
         """All claims, or those since a date when the user accepts a bounded horizon."""
@@ -419,12 +425,19 @@ class RollupStore(BatchStore):
             schemas.ROLLUP_COMMIT,
         )
 
-    def cells(self, grain: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    def cells(
+        self,
+        grain: str,
+        start: date | None = None,
+        end: date | None = None,
+        committed: set[tuple[str, int]] | None = None,
+    ) -> DataFrame:
         """Cells of the days ``start..end``, read from their folders only."""
         if schemas.CELL_PART[grain] == "bucket_month":
-            rows = self.read(grain, start and f"{start:%Y-%m}", end and f"{end:%Y-%m}")
+            months = start and f"{start:%Y-%m}", end and f"{end:%Y-%m}"
+            rows = self.read(grain, *months, committed=committed)
         else:
-            rows = self.read(grain, start, end)
+            rows = self.read(grain, start, end, committed)
         return rows.where(_between(F.to_date("bucket"), start, end))
 
 

@@ -47,6 +47,8 @@ def ingest_batch(
     now = now or datetime.now(timezone.utc)
     if "occurred_at" not in batch.columns:
         batch = batch.withColumn("occurred_at", ts_lit(now))
+    # A null arrival time would reach the day folders of the log and of the cells.
+    batch = batch.withColumn("occurred_at", F.coalesce("occurred_at", ts_lit(now)))
     if order is None:
         batch = batch.withColumn(TIE, F.xxhash64(*batch.columns))
         order = ["client_timestamp", TIE]

@@ -160,4 +160,10 @@ def backfill(
         return
     now = now or datetime.now(timezone.utc)
     write_cells(rollups, backfill_cells(deltas, "minute"), run_id, batch_id, now)
+    confirmed = backfill_cells(deltas, "day").where(F.col("event_type") == schemas.CONFIRMED)
+    volumes = confirmed.groupBy(F.date_format("bucket", "yyyy-MM").alias("period"), "merchant_id").agg(
+        F.sum("amount_sum_cents").cast("bigint").alias("volume_cents"),
+        F.sum("count").cast("bigint").alias("transaction_count"),
+    )
+    rollups.write("board", volumes, run_id, batch_id)
     rollups.commit(run_id, batch_id, consumer_id=rollups.consumer_id, updated_at=now)

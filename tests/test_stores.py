@@ -68,9 +68,9 @@ def test_ingest_summary_and_tables(spark, ingest):
     assert counts == {"submitted": 5, "accepted": 2, "duplicates": 1, "rejected": 2}
     log = {r["idempotency_key"]: r["amount_cents"] for r in ingest.log().collect()}
     assert log == {"a": 100, "d": 5}
-    reasons = {r["idempotency_key"]: r["reject_reasons"] for r in ingest.read_committed("quarantine").collect()}
+    reasons = {r["idempotency_key"]: r["reject_reasons"] for r in ingest.read("quarantine").collect()}
     assert reasons == {"b": ["unknown_merchant"], "c": ["amount_cents"]}
-    answers = ingest.read_committed("responses").collect()
+    answers = ingest.read("responses").collect()
     assert sorted((r["idempotency_key"], r["duplicate"]) for r in answers) == [
         ("a", False), ("a", True), ("d", False),
     ]
@@ -82,7 +82,7 @@ def test_key_is_claimed_once_across_batches_and_days(spark, ingest):
     send(spark, ingest, [("a", M, 100, T0), ("b", M, 1, T0)], 1, now=T0 + timedelta(days=3),
          keep_responses=True)
     assert ingest.log().count() == 2
-    answer = {r["idempotency_key"]: r for r in ingest.read_committed("responses").collect()}
+    answer = {r["idempotency_key"]: r for r in ingest.read("responses").collect()}
     assert answer["a"]["duplicate"] and answer["a"]["event_id"] == first["id"]
     assert answer["a"]["occurred_at"] == first["occurred_at"]
     assert not answer["b"]["duplicate"]
@@ -319,6 +319,7 @@ def test_leaderboard_is_served_then_rebuilt(spark, ingest, rollups):
     rollups.fold("board", drop_before="2026-06")
     rebuilt = nightly.serve_leaderboard(rollups, "2026-05", 1).collect()
     assert [(r["merchant_id"], r["source"]) for r in rebuilt] == [(M, "rollup_day")]
+    nightly.rebuild_board(rollups, "2026-05")
     larger = nightly.serve_leaderboard(rollups, "2026-05", 10).collect()
     assert [(r["merchant_id"], r["volume_cents"], r["source"]) for r in larger] == [
         (M, 100, "board"), (M2, 100, "board"),
@@ -339,3 +340,48 @@ def test_metric_reads_prune_folders(spark, ingest, rollups):
     assert {f[0].split("bucket_date=")[1][:10] for f in files.collect()} == {"2026-05-12"}
     line = nightly.sparkline_from_store(rollups, T0, 60, M).collect()
     assert [r["count"] for r in line] == [1]
+
+
+def test_a_board_read_writes_nothing(spark, ingest, rollups):
+    send(spark, ingest, [("a", M, 100, T0)], 0)
+    roll(rollups, ingest, "r1", 0)
+    rollups.fold("board", drop_before="2026-06")
+    before = rollups.base_state("board")
+    for _ in range(2):
+        nightly.serve_leaderboard(rollups, "2026-05", 1).collect()
+    assert rollups.base_state("board") == before
+
+
+def test_folded_and_vacuumed_log_keeps_its_rows(spark, ingest):
+    send(spark, ingest, [("a", M, 100, T0), ("b", M, 200, T0)], 0)
+    before = {r["idempotency_key"] for r in ingest.log().collect()}
+    for name in ("log", "ledger", "quarantine", "responses"):
+        ingest.fold(name)
+    assert {r["idempotency_key"] for r in ingest.log().collect()} == before
+    ingest.vacuum()
+    assert {r["idempotency_key"] for r in ingest.log().collect()} == before
+
+
+def test_a_torn_commit_folder_is_not_a_commit(spark, ingest):
+    torn = f"{ingest.batch_path('commit', 'src', 0)}/_temporary"
+    ingest._make(torn.removeprefix(f"{ingest.root}/"))
+    assert not ingest.is_committed("src", 0)
+    send(spark, ingest, [("a", M, 100, T0)], 0)
+    assert ingest.log().count() == 1
+
+
+def test_a_batch_committed_while_a_day_is_compacted_stays(spark, ingest, rollups, monkeypatch):
+    send(spark, ingest, [("a", M, 100, T0)], 0)
+    roll(rollups, ingest, "r1", 0)
+    fold = rollups.fold
+
+    def late(name, *rest, **more):
+        monkeypatch.setattr(rollups, "fold", fold)
+        send(spark, ingest, [("b", M, 200, T0)], 1)
+        roll(rollups, ingest, "r1", 1)
+        return fold(name, *rest, **more)
+
+    monkeypatch.setattr(rollups, "fold", late)
+    nightly.compact_day(rollups, T0.date())
+    total = lambda grain: rollups.cells(grain).agg({"count": "sum"}).first()[0]
+    assert total("hour") == total("day") == 2
