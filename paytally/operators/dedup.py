@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally.functions.measures import as_uuid
-from paytally.operators.joins import spread_join
+from paytally.operators.joins import lookup_join
 
 KEY = "idempotency_key"
 
@@ -47,12 +47,12 @@ def claim_rows(claimed: DataFrame, claim_date: Column) -> DataFrame:
 
 
 def responses(
-    events: DataFrame, ledger: DataFrame, order: list[str], **spread: int
+    events: DataFrame, ledger: DataFrame, order: list[str]
 ) -> DataFrame:
     """One row per submitted row: the original's id and arrival, and whether it repeats.
 
     The winning position is a slim per-key aggregate; only that is joined back, with
-    the rows of hot keys split over tasks (``spread`` passes limits of ``spread_join``).
+    the rows of hot keys split over tasks.
     """
     position = F.struct(*order)
     winners = events.groupBy(KEY).agg(
@@ -66,7 +66,7 @@ def responses(
     ).join(winners.select(KEY), KEY, "left_semi")
     originals = winners.join(claims, KEY, "left")
     submitted = events.withColumn("_own", position)
-    joined = spread_join(submitted, originals, [KEY], "left", **spread)
+    joined = lookup_join(submitted, originals, [KEY], "left")
     fresh = F.col("_ledger_id").isNull() & (F.col("_own") == F.col("_position"))
     result = with_event_id(joined).withColumns(
         {

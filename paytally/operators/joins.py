@@ -1,95 +1,21 @@
-"""Joins that neither broadcast unchecked data nor send a hot key to one task."""
+"""Joins of a large, possibly skewed left side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SPREAD_BYTES = 1 << 30
-MAX_HOT_KEYS = 10_000
-NULL_KEY_SALTS = 1_000
+SPLITTABLE = ("inner", "left", "left_semi", "left_anti")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a large left side, whose keys may be hot or null, to ``right``.
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Catalyst's size estimate against the session's broadcast threshold."""
-    spark = df.sparkSession
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    if limit.startswith("-"):
-        return False
-    limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    return estimated_bytes(df) <= limit_bytes
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str,
-    hot_rows: int = HOT_ROWS,
-    spread_bytes: int = SPREAD_BYTES,
-) -> DataFrame:
-    """Join a large, possibly skewed left side to ``right``.
-
-    A right side whose estimate passes the broadcast limit is broadcast; any other
-    goes through ``spread_join``.
-    """
-    if fits_broadcast(right):
-        return left.join(F.broadcast(right), keys, how)
-    return spread_join(left, right, keys, how, hot_rows, spread_bytes)
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str,
-    hot_rows: int = HOT_ROWS,
-    spread_bytes: int = SPREAD_BYTES,
-) -> DataFrame:
-    """Shuffle join that splits the left rows of hot keys over several tasks.
-
-    A key with more than ``hot_rows`` left rows gets ``ceil(rows / hot_rows)`` salts;
-    its right rows are repeated once per salt. The list of hot keys is at most
-    ``MAX_HOT_KEYS`` long (the hottest ones), hence safe to broadcast; a key past the
-    list holds under 1/MAX_HOT_KEYS of the rows and is joined exactly, unsalted. A left
-    side estimated under ``spread_bytes`` fits a task whole and is joined as it is.
+    No hint and no list of hot keys: adaptive execution broadcasts a right side that turns
+    out to be under the session's threshold, and otherwise splits the left partitions that
+    hot keys or nulls make large over several tasks, each with the partition's right rows.
+    That covers any number of hot keys and holds for these join types only, so others are
+    refused.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"the right side cannot be repeated in a {how!r} join")
-    if estimated_bytes(left) < spread_bytes:
-        return left.join(right, keys, how)
-    hot = (
-        left.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .where((F.col("_rows") > hot_rows) & _not_null(keys))
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_salts"))
-    )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    # Row values plus the task's partition: a retried task repeats the salt whatever
-    # order its rows arrive in, and equal copies still part by the task they sit in.
-    # Rows with a null key match nothing, so any salt does.
-    task_salts = F.when(_not_null(keys), salts).otherwise(F.lit(NULL_KEY_SALTS))
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), task_salts).cast("int")
-    salted_left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread)
-    salted_right = right.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    joined = salted_left.drop("_salts").join(
-        salted_right.drop("_salts"), [*keys, "_salt"], how
-    )
-    return joined.drop("_salt")
-
-
-def _not_null(keys: list[str]):
-    condition = F.col(keys[0]).isNotNull()
-    for key in keys[1:]:
-        condition = condition & F.col(key).isNotNull()
-    return condition
+    if how not in SPLITTABLE:
+        raise ValueError(f"the left side of a {how!r} join cannot be split")
+    return left.join(right, keys, how)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paytally import schemas
 from paytally.functions.measures import success_rate, sum_where
 from paytally.functions.time import GRAINS, minutes_before, ts_lit, utc, within_days
-from paytally.operators.joins import spread_join
+from paytally.operators.joins import lookup_join
 from paytally.operators.rollup import per_bucket
 
 MINUTE_RANGE = timedelta(hours=3)
@@ -164,15 +164,13 @@ REQUEST = ["request_id", "merchant_id", "start", "end", "granularity", "error"]
 MEASURES = ["count", "volume_cents", "confirmed", "failed"]
 
 
-def answer_requests(
-    requests: DataFrame, cells: dict[str, DataFrame], **spread: int
-) -> DataFrame:
+def answer_requests(requests: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
     """Totals and success rate for a table of ``(request_id, merchant_id, start, end)``.
 
     Each request is cut into the days it touches and meets the cells in one join by
     (merchant, day, kind of cell). Whole days read one pre-summed row, only the first
     and last day read single buckets: the work per request is its days plus two days of
-    buckets, and a hot merchant's requests are spread over days and salts. A request
+    buckets, and a hot merchant's requests are spread over days. A request
     outside the limits of ``check_range`` comes back with ``error`` set and null totals.
     """
     start, end = F.col("start"), F.col("end")
@@ -186,9 +184,9 @@ def answer_requests(
         error.alias("error"),
     )
     ok = F.col("error").isNull()
-    found = spread_join(
+    found = lookup_join(
         _day_reads(routed.where(ok)), _day_cells(cells), ["merchant_id", "bucket_date", "kind"],
-        "inner", **spread,
+        "inner",
     )
     whole = F.col("kind").isin("day", "hours of day")
     inside = found.where(whole | F.col("bucket").between(start, end))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helpers import T0
 from paytally import schemas
 from paytally.operators import dedup
-from paytally.operators.joins import fits_broadcast, lookup_join, spread_join
+from paytally.operators.joins import lookup_join
 
 ROW = "idempotency_key string, seq long, occurred_at timestamp, event_type string"
 
@@ -63,7 +63,7 @@ def test_counts_by_type_name_the_real_type(spark):
 def test_responses_match_a_loop(spark, keys, claimed):
     claims = events(spark, sorted(claimed) or ["zz"])
     ledger = dedup.claim_rows(dedup.with_event_id(claims), F.to_date("occurred_at"))
-    answered = dedup.responses(events(spark, keys), ledger, ["seq"], hot_rows=3, spread_bytes=0)
+    answered = dedup.responses(events(spark, keys), ledger, ["seq"])
     seen, expected = set(claimed), {}
     for i, key in enumerate(keys):
         expected[i] = key in seen
@@ -72,7 +72,7 @@ def test_responses_match_a_loop(spark, keys, claimed):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_the_plain_join(spark, how):
+def test_lookup_join_equals_the_plain_join(spark, how):
     """One key holds most rows, as equal copies; some keys are null or unmatched."""
     left = (
         spark.range(3000)
@@ -88,40 +88,51 @@ def test_spread_join_equals_the_plain_join(spark, how):
     right = spark.createDataFrame(
         [("hot", 1), ("hot", 2), ("k1", 3), (None, 4), ("absent", 5)], "key string, other int"
     )
-    spread = spread_join(left, right, ["key"], how, hot_rows=100, spread_bytes=0)
+    spread = lookup_join(left, right, ["key"], how)
     plain = left.join(right, ["key"], how)
     assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, plain.collect()))
 
 
 def test_hot_rows_are_split_over_tasks(spark):
-    left = spark.range(0, 8000, 1, 40).select(F.lit("hot").alias("key"), F.lit(1).alias("value"))
-    right = spark.createDataFrame([("hot", 1)], "key string, other int")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """Several hot keys and a hot null; small sizes stand for large ones."""
+    hot = F.when(F.col("id") % 5 > 0, F.concat(F.lit("hot"), F.col("id") % 5))
+    left = spark.range(0, 40000, 1, 40).select(hot.alias("key"), F.md5(F.col("id").cast("string")).alias("value"))
+    right = spark.createDataFrame([(f"hot{i}", i) for i in range(5)], "key string, other int")
+    small = {
+        "spark.sql.shuffle.partitions": "64",  # so that the hot ones stand out
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     try:
-        joined = spread_join(left, right, ["key"], "inner", hot_rows=500, spread_bytes=0)
-        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        joined = lookup_join(left, right, ["key"], "left")
+        # The maximum keeps the values in the shuffle, which is split by its size.
+        tasks = joined.groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("value"))
+        sizes = [r[1] for r in tasks.collect()]
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sum(sizes) == 8000 and max(sizes) < 4000
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40000 and max(sizes) < 6000
 
 
 def test_lookup_join_without_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert not fits_broadcast(spark.range(1))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    assert fits_broadcast(spark.range(1))
     left = events(spark, "aab")
     right = spark.createDataFrame([("a", 1)], "idempotency_key string, other int")
-    joined = lookup_join(left, right, ["idempotency_key"], "left", hot_rows=1, spread_bytes=0)
-    assert sorted((r["seq"], r["other"]) for r in joined.collect()) == [(0, 1), (1, 1), (2, None)]
+    joined = lookup_join(left, right, ["idempotency_key"], "left")
+    found = sorted((r["seq"], r["other"]) for r in joined.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert found == [(0, 1), (1, 1), (2, None)]
 
 
 def test_outer_joins_that_would_repeat_the_right_side_are_refused(spark):
     left = events(spark, "a")
     with pytest.raises(ValueError):
-        spread_join(left, left, ["idempotency_key"], "full")
+        lookup_join(left, left, ["idempotency_key"], "full")
 
 
 def test_existing_events(spark):

@@ -102,7 +102,7 @@ def test_requests_match_a_loop(spark):
     table = spark.createDataFrame(
         requests, 'request_id int, merchant_id string, start timestamp, end timestamp'
     )
-    answered = metrics.answer_requests(table, tables(spark, events), hot_rows=10, spread_bytes=0)
+    answered = metrics.answer_requests(table, tables(spark, events))
     got = {
         r["request_id"]: (r["total_volume_cents"], r["total_count"], r["success_rate"])
         for r in answered.collect()
