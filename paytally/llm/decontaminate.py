@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,20 +199,26 @@ def mark(
     an id that repeats stands for the union of its texts, and equal texts under two ids are two
     items. An empty benchmark hits nothing; no documents give no rows.
     """
-    spark = docs.sparkSession
-    marked = docs.withColumns(
-        {
-            HITS: F.array().cast("array<long>"),
-            ITEMS: F.array().cast("array<string>"),
-            WORDS: F.lit(0).cast("long"),
-        }
-    )
-    for automaton in _blocks(benchmark, item_col, item_text_col, span, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
-        marked = marked.mapInArrow(_scanner(shared, text_col), marked.schema)
+    marked = docs.withColumns(_unmarked())
+    for block in _shared(docs, benchmark, item_col, item_text_col, span, block_words):
+        marked = marked.mapInArrow(_scanner(block, text_col), marked.schema)
     return marked
 
 
+def _unmarked() -> dict[str, Column]:
+    return {
+        HITS: F.array().cast("array<long>"),
+        ITEMS: F.array().cast("array<string>"),
+        WORDS: F.lit(0).cast("long"),
+    }
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, *options) -> list[Broadcast]:
+    """The automaton of each block of items, at least one, as a broadcast."""
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(automaton) for automaton in _blocks(benchmark, *options)]
+
+
 def _scanner(shared, text_col: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -275,18 +282,30 @@ def without_spans(text: str, spans: list[int]) -> str:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, **options
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    max_coverage: float = 0.5,
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    span: int = SPAN,
+    block_words: int = 2_000_000,
 ) -> DataFrame:
     """The documents without their hit spans; those hit in over ``max_coverage`` of their words go.
 
     Rows and columns keep their order and types; only a hit document's text changes. Nulls, empty
-    texts and benchmarks behave as in ``mark``.
+    texts and benchmarks behave as in ``mark``. The last block of items is scanned where the texts
+    are cut, so that with one block, the usual case, whole texts pass through Python once.
     """
-    marked = mark(docs, benchmark, text_col=text_col, **options)
     schema = docs.schema
+    *earlier, last = _shared(docs, benchmark, item_col, item_text_col, span, block_words)
+    marked = docs.withColumns(_unmarked())
+    for block in earlier:
+        marked = marked.mapInArrow(_scanner(block, text_col), marked.schema)
+    scan = _scanner(last, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scan(batches):
             at = batch.schema.get_field_index(text_col)
             spans, counts = batch.column(HITS).to_pylist(), batch.column(WORDS).to_pylist()
             hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
