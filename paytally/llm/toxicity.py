@@ -31,6 +31,7 @@ DISCOUNT = 0.75
 ROWS_PER_CLASS = 2500
 PARTS = 4
 TOXIC_WEIGHT = 3
+REMEMBERED = 200_000  # tokens whose ratio a task process keeps
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,10 +47,11 @@ class KneserNey:
     gram_ratio: np.ndarray
     history: np.ndarray  # sorted hashes of histories
     history_ratio: np.ndarray  # ratio for a character not seen after the history
-    cache: dict[str, tuple[float, int]] = field(default_factory=dict, repr=False, compare=False)
+    row_of: dict[str, int] = field(default_factory=dict, repr=False, compare=False)  # remembered tokens
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)), repr=False, compare=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "row_of": {}, "rows": np.zeros((2, 0))}
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """The log-likelihood ratio of each word, its end included."""
@@ -62,19 +64,22 @@ class KneserNey:
         return np.bincount(word_of, ratio, len(words))
 
     def tokens(self, tokens: list[str]) -> np.ndarray:
-        """(ratio, characters) of each token: the sum over its runs of letters. Remembers tokens."""
-        cache = self.cache
-        if len(cache) > 300_000:
-            cache.clear()
-        missing = [t for t in set(tokens) if t not in cache]
+        """Ratios and characters of the tokens: the sum over its runs of letters. Remembers tokens."""
+        known = self.row_of
+        if len(known) > REMEMBERED:
+            known.clear()
+        missing = [t for t in set(tokens) if t not in known]
         if missing:
             runs = [_LETTERS.findall(t.lower()) for t in missing]
             flat = [w for r in runs for w in r]
             owner = np.repeat(np.arange(len(missing)), [len(r) for r in runs])
             ratio = np.bincount(owner, self.ratios(flat), len(missing)) if flat else np.zeros(len(missing))
-            length = [sum(map(len, r)) for r in runs]
-            cache.update(zip(missing, zip(ratio.tolist(), length)))
-        return np.array([cache[t] for t in tokens], np.float64).reshape(-1, 2)
+            start, end = len(known), len(known) + len(missing)
+            if end > self.rows.shape[1]:
+                self.rows = np.concatenate([self.rows, np.zeros((2, max(end, self.rows.shape[1])))], axis=1)
+            self.rows[:, start:end] = ratio, [sum(map(len, r)) for r in runs]
+            known.update(zip(missing, range(start, end)))
+        return self.rows[:, np.fromiter(map(known.__getitem__, tokens), np.intp, len(tokens))]
 
 
 def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -156,8 +161,7 @@ _WINDOWS = (20, 5, 1)
 
 
 def features(text: str | None, model: KneserNey) -> list[float]:
-    pairs = model.tokens((text or "").split())
-    ratio, length = pairs[:, 0], pairs[:, 1]
+    ratio, length = model.tokens((text or "").split())
     if not length.sum():
         return [0.0] * len(FEATURES)
     sums, lengths = np.concatenate([[0], np.cumsum(ratio)]), np.concatenate([[0], np.cumsum(length)])
