@@ -81,7 +81,7 @@ class WordEncoder:
     when it holds ``most_words`` words. Without it every text is encoded whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True, most_words: int = 1_000_000):
+    def __init__(self, path: str, by_word: bool = True, most_words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.by_word = by_word
@@ -108,16 +108,14 @@ class WordEncoder:
         if not self.by_word or any(s in text for s in self.special):
             return self._whole(text)
         words = _CUT.sub(b" ", text.encode().lower()).split()  # the tokenizer lowers A-Z as well
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
         if len(self.words) > self.most_words:
             self.words.clear()
-        missing = list(set(words).difference(self.words))
+        missing = set(words).difference(self.words)
+        if missing:
+            self._learn(missing)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, missing: set[bytes]) -> None:
         # A digit is always a token of its own here, so words without a 1 pass in one call, 1s between them.
         plain = [w for w in missing if b"1" not in w] if self.separator is not None else []
         for start in range(0, len(plain), 256):
