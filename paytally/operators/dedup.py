@@ -101,7 +101,10 @@ def stream_first_per_key(events: DataFrame, horizon: str, salts: int = 16) -> Da
     """Streaming dedup for users who accept a bounded horizon, without a ledger.
 
     Two stages: each salt of a key keeps its first row, then the key keeps one, so a
-    hot key's copies are spread over ``salts`` state partitions.
+    hot key's copies are spread over ``salts`` state partitions. Rows that arrive more than
+    ``horizon`` after the newest one are dropped as late, whether their key is new or not;
+    the query's progress counts them (``numRowsDroppedByWatermark``). Ingest through the
+    ledger loses none.
     """
     salt = F.pmod(F.xxhash64(F.spark_partition_id(), *events.columns), F.lit(salts))
     return (

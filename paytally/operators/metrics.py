@@ -11,11 +11,12 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paytally import schemas
 from paytally.functions.measures import success_rate, sum_where
-from paytally.functions.time import GRAINS, minutes_before, ts_lit, utc, within_days
+from paytally.functions.time import GRAINS, bucket, minutes_before, ts_lit, utc, within_days
 from paytally.operators.joins import lookup_join
 from paytally.operators.rollup import per_bucket
 
@@ -167,43 +168,43 @@ MEASURES = ["count", "volume_cents", "confirmed", "failed"]
 def answer_requests(requests: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
     """Totals and success rate for a table of ``(request_id, merchant_id, start, end)``.
 
-    Each request is cut into the days it touches and meets the cells in one join by
-    (merchant, day, kind of cell). Whole days read one pre-summed row, only the first
-    and last day read single buckets: the work per request is its days plus two days of
-    buckets, and a hot merchant's requests are spread over days. A request
-    outside the limits of ``check_range`` comes back with ``error`` set and null totals.
+    The buckets of a range are the difference of two running sums, so a request costs two
+    lookups a kind of cell, whatever its span. A request outside the limits of
+    ``check_range``, or without a start or an end, comes back with ``error`` set and null
+    totals. Rows that repeat are answered once and returned as often as they were asked.
     """
     start, end = F.col("start"), F.col("end")
     whole_days = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 86_400_000_000)
-    error = F.when(start >= end, "start must be before end").when(
-        whole_days > MAX_RANGE_DAYS, f"range cannot exceed {MAX_RANGE_DAYS} days"
+    error = (
+        F.when(start.isNull() | end.isNull(), "start and end are required")
+        .when(start >= end, "start must be before end")
+        .when(whole_days > MAX_RANGE_DAYS, f"range cannot exceed {MAX_RANGE_DAYS} days")
     )
     routed = requests.select(
         "request_id", "merchant_id", "start", "end",
         F.when(error.isNull(), grain_of(start, end)).alias("granularity"),
         error.alias("error"),
     )
+    asked = routed.groupBy(*REQUEST).agg(F.count("*").alias("copies"))
     ok = F.col("error").isNull()
-    found = lookup_join(
-        _day_reads(routed.where(ok)), _day_cells(cells), ["merchant_id", "bucket_date", "kind"],
-        "inner",
-    )
-    whole = F.col("kind").isin("day", "hours of day")
-    inside = found.where(whole | F.col("bucket").between(start, end))
+    reads = _lookups(asked.where(ok))
+    sums = running_sums(cells, reads.select("merchant_id", "grain", "at"))
+    found = lookup_join(reads, sums, ["merchant_id", "grain", "at"], "inner")
     # Outcomes come from the hours whatever the granularity, totals from its own cells.
-    from_hours = F.col("kind").isin("hour", "hours of day")
-    own = ~from_hours | (F.col("granularity") == "hour")
+    of_grain, of_hours = F.col("grain") == F.col("granularity"), F.col("grain") == "hour"
     zero = F.lit(0).cast("bigint")
-    measured = inside.select(
+    measured = found.select(
         *REQUEST,
-        *[F.when(own, F.col(m)).otherwise(zero).alias(m) for m in ("count", "volume_cents")],
-        *[F.when(from_hours, F.col(m)).otherwise(zero).alias(m) for m in ("confirmed", "failed")],
+        "copies",
+        *[F.when(of_grain, F.col("sign") * F.col(m)).otherwise(zero).alias(m) for m in MEASURES[:2]],
+        *[F.when(of_hours, F.col("sign") * F.col(m)).otherwise(zero).alias(m) for m in MEASURES[2:]],
     )
-    silent = routed.withColumns({m: zero for m in MEASURES})
-    answered = silent.unionByName(measured).groupBy(*REQUEST).agg(
+    silent = asked.withColumns({m: zero for m in MEASURES})
+    answered = silent.unionByName(measured).groupBy(*REQUEST, "copies").agg(
         *[F.sum(m).cast("bigint").alias(m) for m in MEASURES]
     )
-    return answered.select(
+    each = answered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return each.select(
         *REQUEST,
         F.when(ok, F.col("volume_cents")).alias("total_volume_cents"),
         F.when(ok, F.col("count")).alias("total_count"),
@@ -211,38 +212,65 @@ def answer_requests(requests: DataFrame, cells: dict[str, DataFrame]) -> DataFra
     )
 
 
-def _day_reads(requests: DataFrame) -> DataFrame:
-    """A row per request, day it touches and kind of cell it needs there: hours always,
-    minutes or days by its granularity. A day bucket starts its day, so a first day that
-    begins earlier than the request needs none."""
-    days = requests.withColumn(
-        "bucket_date", F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
-    )
-    first = F.col("bucket_date").cast("timestamp")
-    from_first = F.col("start") <= first
-    covered = from_first & (F.col("end") >= first + F.expr("INTERVAL 23 HOUR"))
-    grain = F.col("granularity")
-    hours = F.when(covered, "hours of day").otherwise("hour")
-    own = F.when(grain == "minute", "minute").when((grain == "day") & from_first, "day")
-    return days.withColumn("kind", F.explode(F.array(hours, own))).where(
-        F.col("kind").isNotNull()
+def _lookups(asked: DataFrame) -> DataFrame:
+    """The running sums a request needs, with their signs: those of the hours, and those of
+    its own granularity where that is another."""
+    edges = {g: _edges(g) for g in GRAINS}
+    own = F.col("granularity")
+    needed = (
+        F.when(own == "minute", F.array(*edges["hour"], *edges["minute"]))
+        .when(own == "day", F.array(*edges["hour"], *edges["day"]))
+        .otherwise(F.array(*edges["hour"]))
     )
+    return asked.withColumn("read", F.explode(needed)).select(*REQUEST, "copies", "read.*")
+
+
+def _edges(grain: str) -> list[Column]:
+    """The first bucket not before ``start``, and the first one after ``end``."""
+    step = F.expr(f"INTERVAL 1 {grain}")
+    first = bucket(grain, F.col("start"))
+    begin = F.when(first < F.col("start"), first + step).otherwise(first)
+    after = bucket(grain, F.col("end")) + step
+    return [
+        F.struct(F.lit(grain).alias("grain"), at.alias("at"), F.lit(sign).alias("sign"))
+        for at, sign in ((begin, -1), (after, 1))
+    ]
+
 
+def running_sums(cells: dict[str, DataFrame], points: DataFrame) -> DataFrame:
+    """For each ``(merchant_id, grain, at)``, the sums over the merchant's buckets before it.
 
-def _day_cells(cells: dict[str, DataFrame]) -> DataFrame:
-    """The cells that ``_day_reads`` names, keyed by merchant, day and kind."""
-    by_grain = {
-        g: _range_measures(cells[g]).withColumn("bucket_date", F.to_date("bucket")) for g in GRAINS
-    }
-    hours_of_day = (
-        by_grain["hour"]
-        .groupBy("merchant_id", "bucket_date")
-        .agg(*[F.sum(m).cast("bigint").alias(m) for m in MEASURES])
-        .withColumn("bucket", F.col("bucket_date").cast("timestamp"))
+    The days before come from a window over one row a day, the day's own part from a window
+    over its buckets and the distinct points in it: at most 1,440 of each, however many
+    events or requests a merchant has.
+    """
+    key = ["merchant_id", "grain"]
+    zero = F.lit(0).cast("bigint")
+    stored = reduce(
+        DataFrame.unionByName,
+        [_range_measures(cells[g]).withColumn("grain", F.lit(g)) for g in GRAINS],
+    ).withColumnRenamed("bucket", "at")
+    wanted = points.distinct().withColumns({m: zero for m in MEASURES})
+    rows = (
+        stored.withColumn("is_point", F.lit(False))
+        .unionByName(wanted.withColumn("is_point", F.lit(True)))
+        .withColumn("day", F.to_date("at"))
+    )
+    days_before = W.partitionBy(*key).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    per_day = rows.groupBy(*key, "day").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    before = per_day.select(
+        *key, "day", *[F.coalesce(F.sum(m).over(days_before), zero).alias(f"{m}_before") for m in MEASURES]
+    )
+    # A point sorts before the bucket that starts at it.
+    earlier = (
+        W.partitionBy(*key, "day").orderBy("at", F.desc("is_point")).rowsBetween(W.unboundedPreceding, -1)
     )
-    kinds = [rows.withColumn("kind", F.lit(g)) for g, rows in by_grain.items()]
-    return reduce(
-        DataFrame.unionByName, [*kinds, hours_of_day.withColumn("kind", F.lit("hours of day"))]
+    inside = rows.select(
+        *key, "day", "at", "is_point",
+        *[F.coalesce(F.sum(m).over(earlier), zero).alias(m) for m in MEASURES],
+    ).where("is_point")
+    return inside.join(before, [*key, "day"]).select(
+        *key, "at", *[(F.col(m) + F.col(f"{m}_before")).cast("bigint").alias(m) for m in MEASURES]
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paytally import schemas
-from paytally.functions.time import cell_parts, month_bounds, ts_lit
+from paytally.functions.time import cell_parts, month_bounds, ts_lit, utc
 from paytally.operators.lag import consumer_positions, pipeline_lag
 from paytally.operators.leaderboard import (
     confirmed_volumes,
@@ -33,8 +33,10 @@ def metrics_from_store(rollups: RollupStore, start, end, merchant_id=None) -> Da
 def sparkline_from_store(
     rollups: RollupStore, as_of: datetime, window_minutes: int = 60, merchant_id=None
 ) -> DataFrame:
-    since = (as_of - timedelta(minutes=window_minutes)).date()
-    return sparkline(rollups.cells("minute", since), as_of, window_minutes, merchant_id)
+    until = utc(as_of)
+    since = until - timedelta(minutes=window_minutes)
+    cells = rollups.cells("minute", since.date(), until.date())
+    return sparkline(cells, until, window_minutes, merchant_id)
 
 
 def consumer_status(stores: list[RollupStore], as_of: datetime) -> DataFrame:

@@ -121,6 +121,22 @@ def test_bad_requests_come_back_with_an_error(spark):
     assert {r["request_id"]: r["total_count"] for r in answered} == {1: None, 2: None, 3: 1}
 
 
+def test_equal_requests_are_answered_one_by_one(spark):
+    day_ago = T0 - timedelta(days=1)
+    rows = [(1, M, day_ago, T0), (1, M, day_ago, T0), (1, M, day_ago, T0), (2, M2, day_ago, T0)]
+    rows += [(3, None, day_ago, T0), (4, M, None, T0), (5, M, day_ago, None), (5, M, day_ago, None)]
+    table = spark.createDataFrame(
+        rows, "request_id int, merchant_id string, start timestamp, end timestamp"
+    )
+    events = [(M, 7, T0 - timedelta(hours=2), T0)]
+    answered = metrics.answer_requests(table, tables(spark, events)).collect()
+    got = sorted((r["request_id"], r["total_volume_cents"], r["total_count"]) for r in answered if r["error"] is None)
+    assert got == [(1, 7, 1)] * 3 + [(2, 0, 0), (3, 0, 0)]
+    bad = [r for r in answered if r["request_id"] >= 4]
+    assert len(bad) == 3
+    assert all(r["error"] == "start and end are required" and r["total_count"] is None for r in bad)
+
+
 def test_late_events(spark):
     rows = [(M, 1, T0 - timedelta(hours=3), T0), (M, 1, T0 - timedelta(seconds=59), T0),
             (M, 1, None, T0 - timedelta(seconds=61))]
