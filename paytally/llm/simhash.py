@@ -32,22 +32,22 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Bits set in over half of the shingle hashes; 0 for a text without words."""
-    words = space_words(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The XXH64 hashes of all word shingles; that of all words together if they are no more than one holds."""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64
-    )
-    return int(_majority(hashes))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Bits set in over half of the shingle hashes; 0 for a text without words."""
+    words = space_words(text)
+    return int(_majority(shingle_hashes(words, shingle))) if words else 0
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:
