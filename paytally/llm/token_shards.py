@@ -1,6 +1,6 @@
 """Token ids in fixed-width bit packing, with random access.
 
-Documents are range-sorted by id and encoded; every id takes the least bits that hold the largest
+Documents are range-sorted by id, or by a column that orders them, and encoded; every id takes the least bits that hold the largest
 id of the vocabulary. The files are Parquet rows of blocks: a block holds the packed ids of whole
 documents (``block_ids`` ids or more, one document at least), its documents and where each ends,
 and the position of its first id in its shard. A manifest holds each shard's first position among
@@ -140,14 +140,18 @@ def write(
     text_col: str = "text",
     by_word: bool = True,
     block_ids: int = BLOCK_IDS,
+    order_col: str | None = None,
 ) -> None:
     """Encode every whole text, append ``end_id`` to each, and write blocks and manifest under ``path``.
 
-    Ascending order of id, null ids first; rows that repeat an id each have their own ids, in the
-    order of their texts. A null or empty text is its end id alone. An empty table writes no block.
+    Ascending order of ``order_col``, if one is named, then of id, nulls first; rows that repeat an
+    id each have their own ids, in the order of their texts. A null or empty text is its end id
+    alone. An empty table writes no block.
     """
-    ordered = texts(docs, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [] if order_col is None else [F.col(order_col).alias("_order")]
+    ordered = texts(docs, *order, F.col(id_col).cast("long").alias("doc_id"), text=text_col)
+    by = ["_order", "doc_id"] if order else ["doc_id"]
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
