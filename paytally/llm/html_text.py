@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,8 @@ _HINTS = frozenset(
     "pagination paywall popup promo promoted promotion related replies respond rss search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+# An element of these that the page never closes is not taken for all the rest of the page.
+_OFTEN_UNCLOSED = frozenset("div section p span li ul".split())
 _KEPT_WHATEVER_CLASS = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
@@ -55,10 +60,12 @@ def _is_around(name: str, attributes: str, in_article: int) -> bool:
         return True
     if name == "header" and not in_article:
         return True
+    return bool(attributes) and name not in _KEPT_WHATEVER_CLASS and bool(_HIDDEN.search(attributes))
+
+
+def _is_hinted(name: str, attributes: str, in_article: int) -> bool:
     if not attributes or name in _KEPT_WHATEVER_CLASS:
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for found in _NAMES.finditer(attributes):
         value = found[1] or found[2] or found[3] or ""
         words = {w.lower() for w in _NAME_WORDS.findall(value)}
@@ -67,12 +74,34 @@ def _is_around(name: str, attributes: str, in_article: int) -> bool:
     return False
 
 
+@dataclass
+class _Hinted:
+    """An open element with a hint word: how many of its name were open before, where it begins, and what it is in."""
+
+    name: str
+    before: int
+    line: int
+    in_article: int
+    in_link: int
+    has_article: bool = False
+
+
 def lines(page: str) -> list[tuple[str, int]]:
-    """(text, length) of each line; an empty line where a container or a dropped part begins or ends."""
+    """(text, length) of each line; an empty line where a container or a dropped part begins or ends.
+
+    A hint word only suggests that an element is around the article: one that contains an article or
+    main element stays, and so does one with the page's largest block sum if no article or main element
+    has a block sum that counts beside it. The elements inside it are judged alone.
+    """
     out: list[tuple[str, int]] = []
     text: list[str] = []
     linked = 0  # characters of the line that are inside links
     in_link = in_article = 0
+    opened: Counter[str] = Counter()  # elements of each name now open
+    hinted: list[_Hinted] = []  # those now open, outermost first
+    levels: dict[tuple[str, int], int] = {}  # place in ``hinted`` by name and by how many of it were open before
+    around: list[tuple[int, int]] = []  # first line and line after the last of closed hinted elements without an article
+    articles: list[list[int]] = []  # first line and, once closed, line after the last
 
     def end_line(gap: bool = False) -> None:
         nonlocal linked
@@ -84,6 +113,17 @@ def lines(page: str) -> list[tuple[str, int]]:
         if gap and out and out[-1][0]:
             out.append(("", 0))
 
+    def close_hinted(level: int, whole: bool = True) -> None:
+        """End the hinted elements from ``level`` on; one that the page never closes counts if it is ``whole``."""
+        nonlocal in_link
+        end_line(gap=True)
+        for one in reversed(hinted[level:]):
+            del levels[one.name, one.before]
+            if not one.has_article and (whole or one.name not in _OFTEN_UNCLOSED):
+                around.append((one.line, len(out)))
+            in_link = one.in_link
+        del hinted[level:]
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -111,6 +151,32 @@ def lines(page: str) -> list[tuple[str, int]]:
             if name not in _VOID and not attributes.rstrip().endswith("/"):
                 at = _after(page, name, at)
             continue
+        alone = name in _VOID or attributes.rstrip().endswith("/")
+        if not closing and _is_hinted(name, attributes, in_article):
+            end_line(gap=True)
+            if alone:
+                continue
+            if name in _RAW:
+                at = _after(page, name, at)
+                continue
+            levels[name, opened[name]] = len(hinted)
+            hinted.append(_Hinted(name, opened[name], len(out), in_article, in_link))
+        if closing and opened[name]:
+            opened[name] -= 1
+            if (name, opened[name]) in levels:
+                close_hinted(levels[name, opened[name]])
+        elif not closing and not alone:
+            opened[name] += 1
+        if name in ("article", "main", "body"):
+            if closing:  # what opened inside and was not closed ends here
+                inside = [i for i, one in enumerate(hinted) if one.in_article >= in_article > 0 or name == "body"]
+                if inside:
+                    close_hinted(inside[0])
+            else:
+                for one in reversed(hinted):
+                    if one.has_article:
+                        break
+                    one.has_article = True
         if name == "a":
             in_link = 0 if closing else 1
         elif name == "br":
@@ -119,9 +185,46 @@ def lines(page: str) -> list[tuple[str, int]]:
             end_line(gap=name in _CONTAINERS)
             in_link = 0
             if name in ("article", "main"):
+                if not closing and not in_article:
+                    articles.append([len(out)])
+                elif closing and in_article == 1:
+                    articles[-1].append(len(out))
                 in_article = max(0, in_article + (-1 if closing else 1))
     end_line()
-    return out
+    if hinted:
+        close_hinted(0, whole=False)
+    return _without(out, around, [(a[0], a[-1] if len(a) > 1 else len(out)) for a in articles])
+
+
+def _without(
+    found: list[tuple[str, int]], around: list[tuple[int, int]], articles: list[tuple[int, int]]
+) -> list[tuple[str, int]]:
+    """The lines outside of ``around``.
+
+    If no block sum of ``articles`` passes the threshold that the page's largest sets, ranges with the
+    longest line of that largest block stay.
+    """
+    if not around:
+        return found
+    lengths = [n for _, n in found]
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    most = max(range(len(sums)), key=sums.__getitem__, default=0)
+    heart = max(range(most, min(most + WINDOW, len(lengths))), key=lengths.__getitem__, default=-1)
+    own = max((sum(lengths[i : min(i + WINDOW, end)]) for first, end in articles for i in range(first, end)), default=0)
+    if own and own >= min(SURGE * sums[most], SURGE_CHARACTERS):
+        heart = -1
+    change = [0] * (len(found) + 1)
+    for first, end in around:
+        if not (first <= heart < end and lengths[heart]):
+            change[first] += 1
+            change[end] -= 1
+    kept: list[tuple[str, int]] = []
+    for line, depth in zip(found, accumulate(change)):
+        if depth:
+            line = ("", 0)
+        if line[0] or (kept and kept[-1][0]):
+            kept.append(line)
+    return kept
 
 
 def _after(page: str, name: str, at: int) -> int:
@@ -139,13 +242,12 @@ def _after(page: str, name: str, at: int) -> int:
         if inner in _RAW and not tag[1] and inner != name:
             at = _after(page, inner, at)
         elif inner in ("article", "main", "body") and name not in ("article", "main"):
-            if tag[1] or depth <= 1:
-                return tag.start()
+            return tag.start()
         elif inner == name and not tag[3].rstrip().endswith("/"):
             depth += -1 if tag[1] else 1
             if not depth:
                 return at
-    return len(page) if name not in ("div", "section", "p", "span", "li", "ul") else start
+    return len(page) if name not in _OFTEN_UNCLOSED else start
 
 
 def main_lines(found: list[tuple[str, int]], window: int = WINDOW, surge: float = SURGE) -> list[str]:

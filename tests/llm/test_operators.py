@@ -202,3 +202,13 @@ def test_contamination_equals_brute_force(spark, docs, none):
     assert decontaminate.report(cleaned, long_items).where("contaminated").count() == 0
     assert decontaminate.decontaminate(docs, benchmark.where("false")).count() == 6
     assert decontaminate.report(none, benchmark).count() == 0
+
+
+@pytest.mark.parametrize("around", ["layout has-sidebar", "no-sidebar", "nav-open", "social-enabled"])
+def test_main_text_inside_a_hinted_wrapper(around):
+    body = "<p>The first long sentence of the text itself, with many words.</p><p>And the second one, no shorter than that.</p>"
+    want = "The first long sentence of the text itself, with many words. And the second one, no shorter than that."
+    side = "<div class='sidebar'><p>Other pages of this site</p></div><div class=share>Tell all your friends</div>"
+    for inside in (f"<div class=row><article>{body}</article>{side}</div>", f"<div><div>{body}</div></div>{side}"):
+        page = f"<html><body><div class='{around}'>{inside}</div><div id=comments><p>A reader</p></div></body></html>"
+        assert html_text.main_text(page) == want
