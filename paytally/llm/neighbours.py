@@ -2,8 +2,9 @@
 
 Each tree gives a vector a string of sign bits of random projections and keeps the strings sorted.
 A query descends in every tree to the rows with its longest common prefix; then all trees ascend
-together, one bit at a time, until the rows that share the prefix number ``candidates`` over all
-trees. Those are compared by the exact inner product in double precision. Vectors of unequal norms
+together, one bit at a time, until the distinct vectors that share the prefix in any tree number
+``candidates``. Those are compared by the exact inner product in double precision. Equal vectors of
+a block are indexed once, with the list of their ids, so copies fill no query's candidates. Vectors of unequal norms
 get one more component that makes all norms equal, so that the largest product is the nearest angle.
 
 Scale: vectors are dealt to blocks of about ``block_rows`` by hash, and queries to blocks of
@@ -44,40 +45,56 @@ class Forest:
             out[start : start + 1024] = np.packbits(signs, axis=2).view(">u4")[:, :, 0]
         return out
 
-    def ranges(self, queries: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree, the rows [low, high) of the sorted strings reached by the ascent."""
-        strings = self._strings(np.column_stack([queries, np.zeros(len(queries))]))
-        low = np.zeros((len(queries), self.trees), np.int64)
-        high = np.full((len(queries), self.trees), len(self.vectors), np.int64)
-        rising = np.arange(len(queries))
-        # Prefixes so long that chance alone leaves far fewer rows than asked for are tried first.
-        deepest = min(BITS, 4 + max(1, math.ceil(math.log2(1 + len(self.vectors) * self.trees / candidates))))
-        for depth in range(deepest, 0, -1):
-            shift = np.uint32(BITS - depth)
-            first = (strings[rising] >> shift) << shift
-            last = first | np.uint32((1 << int(shift)) - 1)
-            a, b = np.empty(first.shape, np.int64), np.empty(first.shape, np.int64)
-            for t in range(self.trees):
-                a[:, t] = np.searchsorted(self.sorted[t], first[:, t], "left")
-                b[:, t] = np.searchsorted(self.sorted[t], last[:, t], "right")
-            enough = (b - a).sum(axis=1) >= candidates
-            low[rising[enough]], high[rising[enough]] = a[enough], b[enough]
-            rising = rising[~enough]
-            if not len(rising):
-                break
+    def bounds(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each string and tree, the rows [low, high) of the sorted strings with its prefix of ``depth`` bits."""
+        shift = np.uint32(BITS - depth)
+        first = (strings >> shift) << shift
+        last = first | np.uint32((1 << int(shift)) - 1)
+        low, high = np.empty(first.shape, np.int64), np.empty(first.shape, np.int64)
+        for t in range(self.trees):
+            low[:, t] = np.searchsorted(self.sorted[t], first[:, t], "left")
+            high[:, t] = np.searchsorted(self.sorted[t], last[:, t], "right")
         return low, high
 
     def search(self, queries: np.ndarray, candidates: int):
-        """Yields, per query, the candidate rows and their inner products."""
+        """Yields the place of each query, its candidate rows and their inner products, in no set order."""
+        size = len(self.vectors)
+        # Prefixes so long that chance alone leaves far fewer rows than asked for are tried first.
+        deepest = min(BITS, 4 + max(1, math.ceil(math.log2(1 + size * self.trees / candidates))))
         for start in range(0, len(queries), 256):
             part = queries[start : start + 256]
-            low, high = self.ranges(part, candidates)
-            for query, a, b in zip(part, low.tolist(), high.tolist()):
-                met = np.zeros(len(self.vectors), bool)
-                for t in range(self.trees):
-                    met[self.order[t, a[t] : b[t]]] = True
-                rows = np.flatnonzero(met)
-                yield rows, self.vectors[rows] @ query
+            strings = self._strings(np.column_stack([part, np.zeros(len(part))]))
+            rising = np.arange(len(part))
+            for depth in range(deepest, -1, -1):
+                left = []
+                low, high = self.bounds(strings[rising], depth) if depth else (None, None)
+                # Rows met count once, so they are no more than the ranges' sum.
+                sums = (high - low).sum(axis=1).tolist() if depth else None
+                for i, query in enumerate(rising.tolist()):
+                    if depth and sums[i] < candidates:
+                        left.append(query)
+                        continue
+                    met = np.full(size, not depth)
+                    if depth:
+                        for t, (a, b) in enumerate(zip(low[i].tolist(), high[i].tolist())):
+                            met[self.order[t, a:b]] = True
+                    rows = np.flatnonzero(met)
+                    if depth and len(rows) < candidates:
+                        left.append(query)
+                        continue
+                    yield start + query, rows, self.vectors[rows] @ part[query]
+                rising = np.array(left, np.int64)
+                if not len(rising):
+                    break
+
+
+def distinct_vectors(vectors: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct rows of ``vectors``, and for each the ascending names of the rows equal to it."""
+    vectors = np.ascontiguousarray(vectors) + 0.0  # one zero
+    whole = vectors.view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.lexsort((names, group))
+    return vectors[first], np.split(names[order], np.flatnonzero(np.diff(group[order])) + 1)
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,9 +120,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for rows whose id is divisible by ``every``.
 
-    A query ascends until a block's trees together hold ``share`` of its rows, and ``k`` a tree on
-    average, repeats over trees included. Ties go to the
-    smaller id. Vectors that are null, zero, of another length than most, or hold null or non-finite
+    A query ascends until a block's trees have met ``share`` of its distinct vectors, more than ``k``
+    at least. Ties go to the smaller id. Vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part, nor does a null id. An id that repeats is one query, with its smallest
     vector, and is never its own neighbour; as a candidate each of its rows counts. With fewer than
     ``k`` candidates all are returned if the forest meets them; an empty table gives no rows.
@@ -129,20 +145,22 @@ def nearest(
     def search(data: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if data.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        names = data["vec_id"].to_numpy()
-        forest = Forest(np.stack(data["v"].to_numpy()).astype(np.float64), trees, longest)
-        candidates = max(k * trees, math.ceil(share * len(names)))  # repeats over trees included
+        vectors = np.stack(data["v"].to_numpy()).astype(np.float64)
+        vectors, names = distinct_vectors(vectors, data["vec_id"].to_numpy())
+        forest = Forest(vectors, trees, longest)
+        candidates = max(k + 1, math.ceil(share * len(names)))
         found = []
         query_names = wanted["vec_id"].to_numpy()
         asked_vectors = np.stack(wanted["v"].to_numpy()).astype(np.float64)
-        for name, (at, score) in zip(query_names, forest.search(asked_vectors, candidates)):
-            other = names[at] != name
-            at, score = at[other], score[other]
-            if len(at) > k:  # keep all that tie with the k-th
-                kept = score >= np.partition(score, len(score) - k)[len(score) - k]
+        for place, at, score in forest.search(asked_vectors, candidates):
+            name = query_names[place]
+            if len(at) > k + 1:  # one may be the query's own; keep all that tie with the last
+                kept = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
                 at, score = at[kept], score[kept]
-            best = np.lexsort((names[at], -score))[:k]
-            found.append((np.full(len(best), name), names[at[best]], score[best]))
+            others = [names[i][names[i] != name][:k] for i in at.tolist()]
+            score, others = np.repeat(score, [len(o) for o in others]), np.concatenate(others)
+            best = np.lexsort((others, -score))[:k]
+            found.append((np.full(len(best), name), others[best], score[best]))
         query, row, score = (np.concatenate(c) for c in zip(*found))
         return pd.DataFrame({"query_id": query, "vec_id": row, "score": score})
 

@@ -212,3 +212,16 @@ def test_main_text_inside_a_hinted_wrapper(around):
     for inside in (f"<div class=row><article>{body}</article>{side}</div>", f"<div><div>{body}</div></div>{side}"):
         page = f"<html><body><div class='{around}'>{inside}</div><div id=comments><p>A reader</p></div></body></html>"
         assert html_text.main_text(page) == want
+
+
+def test_neighbours_recall_beside_a_hot_vector(spark):
+    x = np.random.default_rng(7).standard_normal((4096, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1::3] = x[1]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(rows).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    for q in range(0, 4096, 20):
+        score = np.delete(x @ x[q], q)
+        assert (np.array(got[q]) >= np.sort(score)[-20] - 1e-12).sum() >= 16
