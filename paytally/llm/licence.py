@@ -2,8 +2,8 @@
 
 Templates are licence notices as word sequences. The index holds, for each template, only its words
 of highest IDF over the scanned corpus, with their offsets. A file's occurrences of such words
-propose places (template, start); the proposals of one place support each other by their relative
-positions. A place counts if its words match the template's to the template's own degree and every
+propose places (template, start), one occurrence being enough: postings are joined by union, and
+verification of each place replaces their intersection by relative position. A place counts if its words match the template's to the template's own degree and every
 mandatory key phrase stands where the template has it. An exact template has its rarest word alone
 as anchor: wherever it stands, that word does, so no place is missed.
 
