@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from paytally.llm import (
+    collocations,
     decontaminate,
     html_text,
     lattice,
@@ -16,6 +17,8 @@ from paytally.llm import (
     neighbours,
     quality,
     simhash,
+    spelling_variants,
+    token_counts,
     token_shards,
     toxicity,
 )
@@ -82,6 +85,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    words = spelling_variants.words(table(spark, sf_dir, "documents"), slip_every=97)
+    return spelling_variants.variants(words)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_lattice,
         op10_decontaminate,
+        op11_token_counts,
+        op12_spelling_variants,
+        op13_collocations,
     )
 }
 
@@ -178,4 +200,96 @@ SQL: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+            FROM documents
+        ), counted AS (
+            SELECT doc, run, count(*) AS n FROM runs GROUP BY doc, run
+        ), bytes AS (  -- of UTF-8; all code points are below 256
+            SELECT run, n, flatten(list_transform(string_split(doc || ':' || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)]
+                    ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes
+            FROM counted
+        ), digests AS (  -- CRC-32 bit by bit: each byte is followed by eight shifts
+            SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes,
+                lambda b: [b::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h
+            FROM bytes
+        ), slipped AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+                || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+            FROM digests
+        ), words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped
+            WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), shortened AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other FROM shortened a JOIN shortened b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT s.word, w.word FROM shortened s JOIN words w ON s.rest = w.word
+            UNION SELECT w.word, s.word FROM shortened s JOIN words w ON s.rest = w.word
+        ), best AS (
+            SELECT near.word, count(*) AS n_near, min({'least': -o.n, 'word': other}) AS best
+            FROM near JOIN words o ON o.word = other GROUP BY near.word
+        ), formed AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+                CASE WHEN -b.best.least >= 2 * w.n THEN b.best.word END AS form,
+                CASE WHEN -b.best.least >= 2 * w.n THEN -b.best.least END AS form_n
+            FROM words w LEFT JOIN best b USING (word)
+        ), followed AS (
+            SELECT word, word AS at FROM formed
+            UNION ALL SELECT c.word, f.form FROM followed c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+        ), roots AS (
+            SELECT c.word, c.at AS root FROM followed c JOIN formed f ON f.word = c.at WHERE f.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+    """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)
+        ), one AS (
+            SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(words) AS w FROM pieces) GROUP BY lang, w
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang
+        ), two AS (
+            SELECT lang, g.w1, g.w2, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(words)),
+                lambda i: {'w1': words[i], 'w2': words[i + 1]})) AS g FROM pieces)
+            GROUP BY lang, g.w1, g.w2 HAVING count(*) >= 10
+        ), three AS (
+            SELECT lang, g.w1, g.w2, g.w3, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(words) - 1),
+                lambda i: {'w1': words[i], 'w2': words[i + 1], 'w3': words[i + 2]})) AS g FROM pieces)
+            GROUP BY lang, g.w1, g.w2, g.w3 HAVING count(*) >= 10
+        ), longest AS (
+            SELECT lang, w1, w2, max(f) AS f FROM (
+                SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY lang, w1, w2
+        ), cuts AS (
+            SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, 1 AS k
+            FROM two t JOIN one x ON x.lang = t.lang AND x.w = t.w1 JOIN one y ON y.lang = t.lang AND y.w = t.w2
+            LEFT JOIN longest m ON m.lang = t.lang AND m.w1 = t.w1 AND m.w2 = t.w2
+            WHERE m.f IS NULL OR 100 * m.f < 50 * t.f
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 1
+            FROM three t JOIN one x ON x.lang = t.lang AND x.w = t.w1
+            JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+            UNION ALL
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, x.f, y.f, 2
+            FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+            JOIN one y ON y.lang = t.lang AND y.w = t.w3
+        ), scored AS (
+            SELECT lang, phrase, a, l, r, k,
+                CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score
+            FROM cuts
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
