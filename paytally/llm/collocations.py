@@ -37,9 +37,10 @@ from paytally.session import shared_dir
 
 BLOCK_WORDS = 1_000_000
 BLOCK_PHRASES = 250_000
-_FLUSH_WORDS = 300_000
-_FLUSH_KEYS = 4_000_000
-_CHUNK_WORDS = 2_000_000
+_FLUSH_WORDS = 200_000
+_FLUSH_KEYS = 1_500_000
+_CHUNK_WORDS = 500_000
+_SCAN_WORDS = 2_500_000
 _BREAK = 0xFF  # in no UTF-8 text
 _PIECES = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _MARK = bytes([_BREAK])
@@ -136,13 +137,10 @@ def _encoded(path: str, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             codes = np.fromiter(map(seen[lang].__getitem__, words), np.int32, len(words))
             chunk.append(np.append(codes, np.int32(0)))  # a break after each text; the mark has no number either
             held += len(words)
-            if held >= _CHUNK_WORDS or next_size(seen) >= 2 * _FLUSH_WORDS:
+            if held >= _CHUNK_WORDS or sum(map(len, seen.values())) >= _FLUSH_WORDS:
                 yield flush()
         yield flush()
 
-    def next_size(seen: dict[str, dict[bytes, int]]) -> int:
-        return sum(map(len, seen.values()))
-
     return run
 
 
@@ -274,10 +272,16 @@ def _accepted(codes: np.ndarray, path: str, blocks: list, width: int, words: int
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[np.ndarray]:
+    """Chunks with zeros at their end, several together, so that a trie is loaded once for many positions."""
+    held, end = [], np.zeros(words, np.int32)
     for batch in batches:
         for row in range(batch.num_rows):
-            codes = np.frombuffer(batch.column(0)[row].as_buffer(), np.int32)
-            yield np.append(codes, np.zeros(words, np.int32))
+            held += [np.frombuffer(batch.column(0)[row].as_py(), np.int32), end]
+            if sum(map(len, held)) >= _SCAN_WORDS:
+                codes = np.concatenate(held)
+                held.clear()
+                yield codes
+    yield np.concatenate([*held, end])
 
 
 def _summed(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +316,7 @@ def _triple_keys(path: str, blocks: list, width: int) -> Callable[[Iterator[pa.R
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for codes in _chunks(batches, 2):
-            pair = np.zeros(len(codes) + 1, np.int64)
+            pair = np.zeros(len(codes), np.int64)
             for word, where, value, first in _accepted(codes, path, blocks, width, 2):
                 if word == 1:
                     pair[where] = value + first
