@@ -39,8 +39,8 @@ BLOCK_WORDS = 1_000_000
 BLOCK_PHRASES = 250_000
 _FLUSH_WORDS = 200_000
 _FLUSH_KEYS = 1_500_000
-_CHUNK_WORDS = 500_000
-_SCAN_WORDS = 2_500_000
+_CHUNK_WORDS = 250_000
+_SCAN_WORDS = 1_500_000
 _BREAK = 0xFF  # in no UTF-8 text
 _PIECES = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _MARK = bytes([_BREAK])
@@ -340,6 +340,13 @@ def _phrase_counts(path: str, blocks: list, width: int) -> Callable[[Iterator[pa
     return keys
 
 
+def _written(chunks: DataFrame, name: str) -> DataFrame:
+    """Chunks in the shared folder, in small row groups: a reading task holds its split's rows at once."""
+    path = shared_dir(chunks.sparkSession, name)
+    chunks.write.option("parquet.block.size", 4 << 20).parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
 def _frequent(found: DataFrame, least: int) -> DataFrame:
     return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -369,7 +376,7 @@ def mine(
     dictionary = shared_dir(docs.sparkSession, "dictionary")
     numbered = words.select("key", F.col("id").cast("int").alias("id"), ((F.col("id") - 1) / block_words).cast("int").alias("block"))
     numbered.write.partitionBy("block").parquet(dictionary)
-    codes = saved(rows.mapInArrow(_encoded(dictionary, blocks), "codes binary"), "codes")
+    codes = _written(rows.mapInArrow(_encoded(dictionary, blocks), "codes binary"), "codes")
 
     pairs = saved(_frequent(codes.mapInArrow(_pair_keys, "key long, n long"), least).select("key"), "pairs")
     low = F.lit((1 << 32) - 1)
