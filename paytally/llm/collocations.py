@@ -36,11 +36,12 @@ from paytally.llm.common import saved
 from paytally.session import shared_dir
 
 BLOCK_WORDS = 1_000_000
-BLOCK_PHRASES = 250_000
-_FLUSH_WORDS = 200_000
-_FLUSH_KEYS = 1_500_000
+BLOCK_PHRASES = 150_000
+_FLUSH_WORDS = 250_000
+_FLUSH_KEYS = 1_000_000
 _CHUNK_WORDS = 250_000
 _SCAN_WORDS = 1_500_000
+_SALTS = 32
 _BREAK = 0xFF  # in no UTF-8 text
 _PIECES = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _MARK = bytes([_BREAK])
@@ -80,7 +81,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for lang, words in _texts(batches):
         counts[lang].update(words)
-        if len(counts[lang]) >= _FLUSH_WORDS:
+        if sum(map(len, counts.values())) >= _FLUSH_WORDS:
             yield flush()
     yield flush()
 
@@ -425,7 +426,9 @@ def _ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, covered_per
     ))
     cut = cut.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.array_min(cuts).alias("cut"))
     cut = cut.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.unionByName(cut).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    best = kept.unionByName(cut).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a task that ranks a whole language reads the best of each salt only
+        best = best.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     total = totals.select(F.expr("substring(key, 1, length(key) - 1)").alias("lang"), "n")
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
