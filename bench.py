@@ -88,7 +88,7 @@ def main() -> dict:
     results["stream_full_replay"], _ = once(lambda: queries.run_rollup(spark, ingest, root, "replay"))
     fresh = queries.RollupStore(spark, f"{root}/rollups", "long", "batch")
     results["rollup_batch_build"], _ = once(
-        lambda: rollup_batch(fresh, ingest, ingest.commits(), "build", 0, whole_log=True)
+        lambda: rollup_batch(fresh, ingest, ingest.commits(), "build", 0)
     )
     results["fold_tables"], _ = once(lambda: [store.fold(n) for n in store.tables])
     logged = ingest.log().count()

@@ -478,9 +478,9 @@ LAST = f"""arg_max({uuid_of("idempotency_key")}, (occurred_at, {uuid_of("idempot
 SQL["replay_batch_stats"] = f"""WITH {ACCEPTED},
 total AS (
   SELECT count(*) AS n, {LAST} AS last_event_id, max(occurred_at) AS last_event_at FROM accepted)
-SELECT n AS fetched, n AS new, 0 AS skipped, 'rollup-worker-1' AS consumer_id, last_event_id,
+SELECT n AS fetched, n AS new, 0 AS skipped, 'cells-main' AS consumer_id, last_event_id,
   last_event_at FROM total
-UNION ALL SELECT n, 0, n, 'rollup-worker-1', last_event_id, last_event_at FROM total"""
+UNION ALL SELECT n, 0, n, 'cells-main', last_event_id, last_event_at FROM total"""
 
 SQL["fold_and_backfill"] = (
     f"WITH {ACCEPTED},"

@@ -19,7 +19,7 @@ DEFAULT_TOP_N = 10
 MAX_TOP_N = 100
 SNAPSHOT_TOP_N = 100
 DEFAULT_PAGE = 1000
-DEFAULT_CONSUMER = "rollup-worker-1"
+DEFAULT_CONSUMER = "cells-main"
 # Where the JSON reader leaves the text of a line it could not parse in full.
 CORRUPT = "_corrupt_record"
 
@@ -83,6 +83,7 @@ LEDGER = _fields(
     ("event_id", S),
     ("occurred_at", TS),
     ("created_date", D),
+    ("key_part", S),
 )
 
 RESPONSES = _fields(
@@ -108,6 +109,8 @@ INGEST_COMMIT = _fields(
     ("committed_at", TS),
 )
 
+RANGE = _fields(("run_id", S), ("first", L), ("last", L))
+
 ROLLUP_COMMIT = _fields(
     ("src_run", S),
     ("src_batch", L),
@@ -119,6 +122,9 @@ ROLLUP_COMMIT = _fields(
     ("skipped", L),
     ("lag_seconds", T.DoubleType()),
     ("updated_at", TS),
+    # Batches of the log that this commit aggregates, and those a rebuild sets out to.
+    ("taken", T.ArrayType(RANGE)),
+    ("planned", T.ArrayType(RANGE)),
 )
 
 MARKER = _fields(("event_id", S), ("processed_at", TS), ("occurred_date", D))

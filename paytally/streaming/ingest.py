@@ -62,7 +62,7 @@ def ingest_batch(
             bad = bad.withColumn(schemas.CORRUPT, F.lit(None).cast("string"))
         store.write("quarantine", bad, run_id, batch_id)
         good = accepted(checked)
-        ledger = store.ledger(horizon_start)
+        ledger = store.claims(good.select("idempotency_key"), horizon_start)
         fresh = claim(good, ledger, order).withColumns(
             {
                 "id": F.col("event_id"),

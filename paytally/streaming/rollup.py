@@ -7,7 +7,7 @@ bucket it belongs to.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paytally import schemas
-from paytally.functions.time import GRAINS, cell_parts, ts_lit
+from paytally.functions.time import GRAINS, cell_parts, event_time, ts_lit
 from paytally.operators.lag import late_events
 from paytally.operators.rollup import backfill_cells, board_increments, cells_from_events, coarsen
+from paytally.sources.state import Batches
 from paytally.sources.store import IngestStore, RollupStore
 from paytally.streaming.ingest import run_of
 
@@ -54,15 +55,10 @@ def rollup_batch(
     run_id: str,
     batch_id: int,
     now: datetime | None = None,
-    whole_log: bool = False,
 ) -> None:
-    """Aggregate the log batches that ``commits`` names under ``(run_id, batch_id)``.
-
-    ``whole_log`` reads every committed batch instead of naming their paths.
-    """
+    """Aggregate the log batches that ``commits`` names under ``(run_id, batch_id)``."""
     if rollups.is_committed(run_id, batch_id):
         return
-    now = now or datetime.now(timezone.utc)
     position = F.struct("last_event_at", "last_event_id")
     stats = commits.agg(
         F.coalesce(F.sum("accepted"), F.lit(0)).alias("fetched"),
@@ -72,12 +68,19 @@ def rollup_batch(
         F.min("min_occurred_date").alias("first_date"),
         F.max("max_occurred_date").alias("last_date"),
     ).first()
-    if whole_log:
-        log = ingest.log()
-    else:
-        # Commit rows only: their number per batch is bounded by maxFilesPerTrigger.
-        named = commits.where(F.col("accepted") > 0).select("src_run", "src_batch").collect()
-        log = ingest.read_batches("log", [(r["src_run"], r["src_batch"]) for r in named])
+    # Commit rows only: their number per batch is bounded by maxFilesPerTrigger.
+    named = commits.select("src_run", "src_batch", "accepted").collect()
+    full = [(r["src_run"], r["src_batch"]) for r in named if r["accepted"] and r["accepted"] > 0]
+    log = ingest.read_batches("log", full)
+    taken = Batches.of((r["src_run"], r["src_batch"]) for r in named).rows()
+    _aggregate(rollups, log, stats.asDict(), run_id, batch_id, now, taken=taken)
+
+
+def _aggregate(
+    rollups: RollupStore, log: DataFrame, stats: dict, run_id: str, batch_id: int, now: datetime | None, **row
+) -> None:
+    """Markers, cells, board and late events of the log rows no marker names yet, then the commit."""
+    now = now or datetime.now(timezone.utc)
     # An event keeps its stored occurred_at, so only markers of these days can match.
     markers = rollups.read("markers", stats["first_date"], stats["last_date"])
     needed = [
@@ -109,6 +112,7 @@ def rollup_batch(
             skipped=stats["fetched"] - new,
             lag_seconds=lag,
             updated_at=now,
+            **row,
         )
     finally:
         fresh.unpersist()
@@ -131,6 +135,12 @@ def start_rollup(
     trigger: dict | None = None,
     batches_per_trigger: int = 100,
 ) -> StreamingQuery:
+    """Roll up the log as it is committed. Batches whose commit rows were rolled away before this
+    consumer took them are caught up first, by day ranges of the log."""
+    version, rolled, _ = ingest._rolled()
+    if rolled and rolled - rollups.taken():
+        _by_days(rollups, ingest, f"catch-up-{version}", DAYS_AT_ONCE)
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rollup_batch(rollups, ingest, batch, run_of(batch), batch_id)
 
@@ -143,12 +153,60 @@ def start_rollup(
     )
 
 
-def rebuild(rollups: RollupStore, ingest: IngestStore, run_id: str = "rebuild") -> None:
-    """Recompute everything from the log into a consumer that has no state yet: one batch,
-    published by one commit row."""
-    if not rollups.commits().isEmpty():
+#: Days of the log that a rebuild aggregates in one batch.
+DAYS_AT_ONCE = 7
+_PLAN, _DONE = 0, 1 << 40
+
+
+def rebuild(
+    rollups: RollupStore, ingest: IngestStore, run_id: str = "rebuild", days: int = DAYS_AT_ONCE
+) -> None:
+    """Recompute everything from the log into a consumer that has no state yet.
+
+    One batch a range of ``days`` days, each published by its own commit row, so memory follows a
+    range and a rebuild that was cut short goes on after the last committed range. The
+    batches of the log it covers are fixed by its first commit row.
+    """
+    others = rollups.committed() - Batches({run_id: [[_PLAN, _DONE - 1]]})
+    if others:
         raise ValueError("rebuild needs an empty consumer")
-    rollup_batch(rollups, ingest, ingest.commits(), run_id, 0, whole_log=True)
+    _by_days(rollups, ingest, run_id, days)
+
+
+def _by_days(rollups: RollupStore, ingest: IngestStore, run_id: str, days: int) -> None:
+    if not rollups.is_committed(run_id, _PLAN):
+        plan = ingest.committed().rows()
+        rollups.commit(run_id, _PLAN, consumer_id=rollups.consumer_id, planned=plan, updated_at=datetime.now(timezone.utc))
+    own = rollups.commits().where(F.col("src_run") == run_id)
+    planned = Batches.of_rows(own.where(F.col("src_batch") == _PLAN).select(F.inline("planned")).collect())
+    dates = ingest.commits().where(F.col("min_occurred_date").isNotNull()).select("min_occurred_date", "max_occurred_date")
+    first, last = dates.agg(F.min("min_occurred_date"), F.max("max_occurred_date")).first()
+    if first is not None:
+        spans = {d.toordinal() // days for d in ingest.days(planned) if first <= d <= last}
+        for span in sorted(spans):
+            start = date.fromordinal(span * days)
+            _rebuild_days(rollups, ingest, run_id, span, start, start + timedelta(days=days - 1), planned)
+    if not rollups.is_committed(run_id, _DONE):
+        rollups.commit(
+            run_id, _DONE, consumer_id=rollups.consumer_id, taken=planned.rows(), updated_at=datetime.now(timezone.utc)
+        )
+
+
+def _rebuild_days(
+    rollups: RollupStore, ingest: IngestStore, run_id: str, span: int, start: date, end: date, planned: Batches
+) -> None:
+    if rollups.is_committed(run_id, span):
+        return
+    log = ingest.log(start, end, planned)
+    position = F.struct("occurred_at", "id")
+    stats = log.agg(
+        F.count("*").alias("fetched"),
+        F.max_by("id", position).alias("last_event_id"),
+        F.max("occurred_at").alias("last_event_at"),
+        F.max_by(event_time(), position).alias("last_event_ts"),
+    ).first()
+    dates = {"first_date": start, "last_date": end}
+    _aggregate(rollups, log, stats.asDict() | dates, run_id, span, None)
 
 
 def backfill(
