@@ -512,3 +512,33 @@ SQL["retained_minutes"] = (
 
 SQL["stream_dedup_horizon"] = f"""WITH {PAYMENTS}
 SELECT idempotency_key, event_type FROM payments QUALIFY {FIRST}"""
+
+SQL["stored_metrics"] = metrics_record(
+    ACCEPTED + "," + cells("cells_hour", "accepted", "hour"), "hour", "2024-01-08", "2024-01-15"
+)
+SQL["stored_sparkline"] = f"WITH {ACCEPTED},{cells('cells_minute', 'accepted', 'minute')}" + bucket_sums(
+    "merchant_id,", "cells_minute", DAY_BEFORE
+)
+SQL["stored_late_events"] = f"""WITH {ACCEPTED}
+SELECT {uuid_of("idempotency_key")} AS event_id, merchant_id, event_ts,
+  (epoch_us(occurred_at) - epoch_us(client_timestamp)) / 1e6 AS client_delay_s
+FROM accepted"""
+SQL["consumer_status"] = f"""WITH {ACCEPTED},
+last AS (SELECT {LAST} AS last_event_id, max(occurred_at) AS last_event_at FROM accepted)
+SELECT 'cells-main' AS consumer_id, last_event_id, last_event_at, round_even(
+    (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last_event_at)) / 1e6, 1) AS lag_seconds,
+  CASE WHEN last_event_at < TIMESTAMP '2024-01-31' - INTERVAL 30 SECOND THEN 'degraded' ELSE 'ok' END AS status
+FROM last
+UNION ALL SELECT 'idle', NULL, NULL, NULL, 'unknown'"""
+SQL["stored_recent_events"] = f"""WITH {ACCEPTED}
+SELECT {uuid_of("idempotency_key")} AS event_id, merchant_id, event_type, amount_cents, occurred_at
+FROM accepted ORDER BY occurred_at DESC, event_id DESC LIMIT 20"""
+SQL["stored_history"] = SQL["leaderboard_history"]
+SQL["merchants_source"] = f"""WITH {VALID},{REGISTERED}
+SELECT merchant_id, count(*) AS events FROM valid
+WHERE merchant_id IN (SELECT merchant_id FROM registered) GROUP BY merchant_id"""
+SQL["stamped_ingest"] = f"""WITH {VALID},{REGISTERED},
+firsts AS (
+  SELECT * FROM valid WHERE merchant_id IN (SELECT merchant_id FROM registered)
+  QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY event_ts, id) = 1)
+SELECT event_type, count(*) AS events, 1 AS stamps FROM firsts GROUP BY event_type"""

@@ -479,7 +479,11 @@ def leaderboard_snapshot_monthly(spark, sf_dir):
 def leaderboard_history(spark, sf_dir):
     """The newest twelve monthly snapshots with merchant names; households have none."""
     stored = leaderboard.snapshots(order_days(spark, sf_dir), "monthly", ts_lit(AS_OF))
-    history = leaderboard.snapshot_history(stored, registered(spark, sf_dir), "monthly", 12)
+    return _history(stored, registered(spark, sf_dir))
+
+
+def _history(stored: DataFrame, merchants: DataFrame) -> DataFrame:
+    history = leaderboard.snapshot_history(stored, merchants, "monthly", 12)
     entries = F.transform(
         "entries",
         lambda e: F.concat_ws(
@@ -598,21 +602,51 @@ def compact_day(spark, sf_dir):
 # Streams, run over what the source holds and read back from their tables
 
 
-def run_ingest(spark: SparkSession, sf_dir: str, root: str, **options) -> IngestStore:
+#: Micro-batches of the queries that let events arrive piece by piece.
+PIECES = 4
+
+
+def run_ingest(
+    spark: SparkSession, sf_dir: str, root: str, pieces: int = 1,
+    between: Callable[[IngestStore, int], None] | None = None, **options,
+) -> IngestStore:
+    """Ingest the events, in one pass or as so many files that arrive one after another and are each a micro-batch
+    of one checkpoint. ``between`` runs after each."""
     store = IngestStore(spark, f"{root}/ingest", "long")
-    stream = adapters.payments_from_events(adapters.events_stream(spark, sf_dir))
-    start_ingest(
-        store, stream, registered(spark, sf_dir), f"{root}/checkpoint-ingest", order=ORDER, **options
-    ).awaitTermination()
+    options = {"order": ORDER} | options
+
+    def ingest(events: DataFrame) -> None:
+        stream = adapters.payments_from_events(events)
+        start_ingest(store, stream, registered(spark, sf_dir), f"{root}/checkpoint-ingest", **options).awaitTermination()
+
+    if pieces == 1:
+        ingest(adapters.events_stream(spark, sf_dir))
+        return store
+    for number, piece in enumerate(adapters.in_time_order(adapters.table(spark, sf_dir, "events"), pieces)):
+        piece.write.parquet(f"{root}/inbox/{number:04}")
+        ingest(adapters.events_inbox(spark, f"{root}/inbox"))
+        if between:
+            between(store, number)
     return store
 
 
-def run_rollup(spark: SparkSession, ingest: IngestStore, root: str, run: str) -> RollupStore:
+def run_rollup(
+    spark: SparkSession, ingest: IngestStore, root: str, run: str, batches_per_trigger: int = 100
+) -> RollupStore:
     store = RollupStore(spark, f"{root}/rollups", "long")
-    start_rollup(store, ingest, f"{root}/checkpoint-{run}").awaitTermination()
+    start_rollup(
+        store, ingest, f"{root}/checkpoint-{run}", batches_per_trigger=batches_per_trigger
+    ).awaitTermination()
     return store
 
 
+def _fold_ledger(store: IngestStore, number: int) -> None:
+    """A base and batches not folded yet, so that keys are looked up in both."""
+    if number == 1:
+        store.fold("ledger")
+        store.fold("log")
+
+
 def _cells_only(cells: DataFrame) -> DataFrame:
     return cells.select(*rollup.CELL, *rollup.MEASURES)
 
@@ -620,7 +654,7 @@ def _cells_only(cells: DataFrame) -> DataFrame:
 @query
 def stream_ingest_log(spark, sf_dir):
     root = shared_dir(spark, "stream-ingest")
-    return run_ingest(spark, sf_dir, root).log().select(
+    return run_ingest(spark, sf_dir, root, PIECES, _fold_ledger).log().select(
         F.col("id").alias("event_id"), "merchant_id", "event_type", "amount_cents", "currency",
         "idempotency_key", "occurred_at", "client_timestamp", "occurred_date",
     )
@@ -629,7 +663,7 @@ def stream_ingest_log(spark, sf_dir):
 @query
 def stream_ingest_responses(spark, sf_dir):
     root = shared_dir(spark, "stream-responses")
-    store = run_ingest(spark, sf_dir, root, keep_responses=True)
+    store = run_ingest(spark, sf_dir, root, PIECES, _fold_ledger, keep_responses=True)
     return store.read("responses").groupBy("idempotency_key", "event_id").agg(
         F.count_if("duplicate").alias("duplicates"),
         F.count("*").alias("submitted"),
@@ -640,7 +674,7 @@ def stream_ingest_responses(spark, sf_dir):
 @query
 def stream_quarantine(spark, sf_dir):
     root = shared_dir(spark, "stream-quarantine")
-    rows = run_ingest(spark, sf_dir, root).read("quarantine")
+    rows = run_ingest(spark, sf_dir, root, PIECES).read("quarantine")
     return rows.groupBy(
         F.array_join("reject_reasons", ",").alias("reject_reasons"),
         "event_type",
@@ -650,28 +684,44 @@ def stream_quarantine(spark, sf_dir):
 
 @query
 def stream_rollup_hour(spark, sf_dir):
+    """Events and rollup take turns on their checkpoints. Halfway the commit rows taken so far
+    are rolled away and the hours folded."""
     root = shared_dir(spark, "stream-rollup")
-    store = run_rollup(spark, run_ingest(spark, sf_dir, root), root, "first")
-    return _cells_only(store.cells("hour"))
+
+    def rolled_up(ingest: IngestStore, number: int) -> None:
+        store = run_rollup(spark, ingest, root, "first", 1)
+        if number == 1:
+            ingest.roll_commits([store.taken()])
+            store.fold("hour")
+            store.roll_commits()
+
+    run_ingest(spark, sf_dir, root, PIECES, rolled_up)
+    return _cells_only(RollupStore(spark, f"{root}/rollups", "long").cells("hour"))
 
 
 @query
 def replay_rollup(spark, sf_dir):
-    """The same log rolled up by two runs: the second finds every event marked."""
+    """The same log rolled up by two runs, several micro-batches each: the second finds every event marked."""
     root = shared_dir(spark, "replay-rollup")
-    ingest = run_ingest(spark, sf_dir, root)
-    run_rollup(spark, ingest, root, "first")
-    return _cells_only(run_rollup(spark, ingest, root, "second").cells("day"))
+    ingest = run_ingest(spark, sf_dir, root, PIECES)
+    run_rollup(spark, ingest, root, "first", 1)
+    return _cells_only(run_rollup(spark, ingest, root, "second", 2).cells("day"))
 
 
 @query
 def replay_batch_stats(spark, sf_dir):
-    """Fetched, new and skipped events of both runs."""
+    """Fetched, new and skipped events of both runs, over the commit rows of their micro-batches."""
     root = shared_dir(spark, "replay-stats")
-    ingest = run_ingest(spark, sf_dir, root)
-    run_rollup(spark, ingest, root, "first")
-    store = run_rollup(spark, ingest, root, "second")
-    return store.commits().select("fetched", "new", "skipped", "consumer_id", "last_event_id", "last_event_at")
+    ingest = run_ingest(spark, sf_dir, root, PIECES)
+    run_rollup(spark, ingest, root, "first", 1)
+    store = run_rollup(spark, ingest, root, "second", 1)
+    newest = F.struct("last_event_at", "last_event_id")
+    runs = store.commits().groupBy("src_run", "consumer_id").agg(
+        *(F.sum(c).alias(c) for c in ("fetched", "new", "skipped")),
+        F.max_by("last_event_id", newest).alias("last_event_id"),
+        F.max("last_event_at").alias("last_event_at"),
+    )
+    return runs.drop("src_run")
 
 
 @query
@@ -746,3 +796,91 @@ def stream_dedup_horizon(spark, sf_dir):
         .awaitTermination()
     )
     return spark.read.schema("idempotency_key string, event_type string").parquet(f"{root}/passed")
+
+
+# Reads of stored tables: a base of folded batches with later batches on top
+
+
+def _half_folded(spark: SparkSession, sf_dir: str, root: str, *names: str) -> RollupStore:
+    def rolled_up(ingest: IngestStore, number: int) -> None:
+        store = run_rollup(spark, ingest, root, "first")
+        if number == 0:
+            for name in names:
+                store.fold(name)
+
+    run_ingest(spark, sf_dir, root, 2, rolled_up)
+    return RollupStore(spark, f"{root}/rollups", "long")
+
+
+@query
+def stored_metrics(spark, sf_dir):
+    """The combined record of every merchant for a week, from the stored hours of these days only."""
+    store = _half_folded(spark, sf_dir, shared_dir(spark, "stored-metrics"), "hour")
+    return _flat(nightly.metrics_from_store(store, "2024-01-08", "2024-01-15"))
+
+
+@query
+def stored_sparkline(spark, sf_dir):
+    store = _half_folded(spark, sf_dir, shared_dir(spark, "stored-sparkline"), "minute")
+    return nightly.sparkline_from_store(store, datetime(2024, 1, 20, 12, tzinfo=timezone.utc), 1440)
+
+
+@query
+def stored_late_events(spark, sf_dir):
+    """The late table: a worker that runs long after the events finds all of them late."""
+    store = _half_folded(spark, sf_dir, shared_dir(spark, "stored-late"), "late")
+    return store.read("late").select("event_id", "merchant_id", "event_ts", "client_delay_s")
+
+
+@query
+def consumer_status(spark, sf_dir):
+    """Position and status of a consumer that ran and of one that never did, from their commit rows."""
+    root = shared_dir(spark, "consumer-status")
+    store = _half_folded(spark, sf_dir, root)
+    store.roll_commits()
+    idle = RollupStore(spark, f"{root}/rollups", "long", "idle")
+    return nightly.consumer_status([store, idle], datetime(2024, 1, 31, tzinfo=timezone.utc))
+
+
+@query
+def stored_recent_events(spark, sf_dir):
+    """The newest events of the log, from the newest days' folders that hold as many."""
+    store = run_ingest(spark, sf_dir, shared_dir(spark, "stored-recent"))
+    store.fold("log")
+    return store.recent(20).select(
+        F.col("id").alias("event_id"), "merchant_id", "event_type", "amount_cents", "occurred_at"
+    )
+
+
+@query
+def stored_history(spark, sf_dir):
+    """The newest twelve monthly snapshots, published twice, read through their pointers."""
+    store = SnapshotStore(spark, shared_dir(spark, "stored-history"), "long")
+    snapshots = leaderboard.snapshots(order_days(spark, sf_dir), "monthly", ts_lit(AS_OF))
+    store.write_all(snapshots.where("rank <= 3"))
+    store.write_all(snapshots)
+    return _history(store.read("monthly", 12), registered(spark, sf_dir))
+
+
+@query
+def merchants_source(spark, sf_dir):
+    """Events of the merchants that a stored dimension lists, read with its declared schema."""
+    path = shared_dir(spark, "merchants")
+    registered(spark, sf_dir).write.parquet(path)
+    known = validate.known_merchants(valid(spark, sf_dir), readers.read_merchants(spark, path, "long"))
+    return known.groupBy("merchant_id").agg(F.count("*").alias("events"))
+
+
+@query
+def stamped_ingest(spark, sf_dir):
+    """A stream without arrival times is stamped once a batch: events and stamps of the log, per currency."""
+    root = shared_dir(spark, "stamped-ingest")
+    store = IngestStore(spark, f"{root}/ingest", "long")
+    stream = adapters.payments_from_events(adapters.events_stream(spark, sf_dir))
+    stream = stream.withColumn("client_timestamp", event_time()).drop("occurred_at")
+    start_ingest(
+        store, stream, registered(spark, sf_dir), f"{root}/checkpoint", order=["client_timestamp", "id"]
+    ).awaitTermination()
+    return store.log().groupBy("event_type").agg(
+        F.count("*").alias("events"), F.countDistinct("occurred_at").alias("stamps")
+    )

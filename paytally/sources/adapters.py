@@ -40,6 +40,26 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000)
     )
 
 
+def events_inbox(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the event files that keep arriving under a folder."""
+    reader = use_utc(spark).readStream.schema(EVENTS_SCHEMA).option("recursiveFileLookup", "true")
+    return reader.parquet(folder)
+
+
+def in_time_order(events: DataFrame, pieces: int) -> list[DataFrame]:
+    """The events cut into spans of equal length, oldest first."""
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [events]
+    bounds = [first + (last - first) * k / pieces for k in range(1, pieces)]
+    spans = zip([None, *bounds], [*bounds, None])
+    ts = F.col("ts")
+    return [
+        events.where((F.lit(True) if low is None else ts >= F.lit(low)) & (F.lit(True) if high is None else ts < F.lit(high)))
+        for low, high in spans
+    ]
+
+
 def payments_from_events(events: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     kind = F.col("event_type")
