@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paytally.llm import mixing
+from paytally.llm import mixing, near_copies
+from paytally.session import shared_dir
 
 
 def _shingles(text):
@@ -62,3 +64,36 @@ def test_near_copies_of_rows_without_an_id_of_their_own(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     want = [(1, one, "x"), (1, two, "x"), (None, three, "z")]
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
+def test_parities_never_part_near_copies():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        apart = int(rng.integers(0, max(1, len(a) // 4)))
+        b = np.unique(np.concatenate([a[apart:], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, apart + 1)))]))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            sizes = np.array([len(a)]), np.array([len(b)])
+            assert near_copies._near_enough(near_copies.parity(a)[None], near_copies.parity(b)[None], *sizes).all()
+            row = {"a": [1], "b": [2], "n": [len(a)], "other_n": [len(b)], "bits": [near_copies._wide_parity(a)],
+                   "other_bits": [near_copies._wide_parity(b)]}
+            assert next(near_copies._unlike(iter([pa.RecordBatch.from_pydict(row)]))).num_rows == 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_row", "row", "_n_words", "_hit_spans", "_hit_items", "training_position", "key", "class", "at", "number"]
+    texts = ["one two three four five six seven " * 3, "", None, "quite another text of some words here", "quite another text of some words here"]
+    rows = [(i, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+    docs.sparkSession.createDataFrame([("i", "a b c d e f g h i j k")], "item_id string, text string").write.mode(
+        "overwrite").parquet(f"{(folder := shared_dir(spark, 'clash'))}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 3]
+    clean = corpus_pipeline.remove_benchmark(spark, docs, folder)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert mixed.columns[:-1] == docs.columns and mixed.columns[-1] == "training_position_"
+    assert corpus_pipeline.pack_tokens(spark, mixed, folder).count() == mixed.count() > 0
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.remove_benchmark, corpus_pipeline.mix_sources):
+        assert stage(spark, docs.where("false"), folder).count() == 0
