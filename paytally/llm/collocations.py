@@ -103,7 +103,7 @@ def _numbered(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int]:
 def _read(path: str) -> pa.Table:
     """A folder of Parquet files in the shared folder, read by a task."""
     store, inside = fs.FileSystem.from_uri(path)
-    return pq.read_table(inside, filesystem=store, partitioning=None)
+    return pq.read_table(inside, filesystem=store, partitioning=None, use_threads=False)
 
 
 def _encoded(path: str, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -130,6 +130,8 @@ def _encoded(path: str, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             numbers, held = count(1), 0
             seen.clear()
             chunk.clear()
+            del keys, local, code
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], schema=_CODES)
 
         for lang, words in _texts(batches):
@@ -349,7 +351,8 @@ def _written(chunks: DataFrame, name: str) -> DataFrame:
 
 
 def _frequent(found: DataFrame, least: int) -> DataFrame:
-    return found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # The tasks have summed already: dealing the rows first spares them a second, nearly useless map.
+    return found.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
