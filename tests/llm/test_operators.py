@@ -119,6 +119,19 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(empty).count() == 0
 
 
+def test_neighbours_of_few_rows_ties_repeats_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (3, [0.5, 1.0]), (2, [0.5, -1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (0, [9.0, 0.0])]
+    short = [(20, [1.0]), (5, [2.0]), (40, [3.0]), (60, [1.0, 1.0, 1.0])]
+    both = spark.createDataFrame(rows + short, "vec_id long, embedding array<double>")
+    extra = both.selectExpr("*", "'x' as v", "1L as dim", "2L as longest", "3 as block", "4 as part", "5 as rank")
+    found = neighbours.nearest(extra).orderBy("query_id", "rank").collect()
+    # An id that repeats asks once, with its smaller vector; equal scores go by the smaller id; lengths are searched apart.
+    assert [tuple(r) for r in found] == [
+        (0, 1, 1, 2.0), (0, 2, 1, 2.0), (0, 3, 2, 0.5), (0, 4, 3, 0.5),
+        (20, 1, 40, 3.0), (20, 2, 5, 2.0), (40, 1, 5, 6.0), (40, 2, 20, 3.0),
+    ]
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a href=x>Home</a></nav>"
