@@ -13,8 +13,7 @@ own counts once more and falls back on P; a text's probability is the product ov
 one end, in each class, summed over the classes by their share of the training texts.
 
 Scale: all training tokens are counted, combined per batch of texts before the shuffle. Each
-distinct word is spelled once, wherever it occurs. The ``frequent`` commonest words, a bounded
-list, are broadcast; only the rarer occurrences are joined to the word table, so no join key is hot.
+distinct word is spelled once, wherever it occurs. The commonest words, ``frequent`` at most, are broadcast; only the rarer occurrences are joined to the word table, so no join key is hot.
 """
 
 from __future__ import annotations
@@ -40,6 +39,8 @@ FREQUENT_BYTES = 64
 CLASSES = 7
 _START = "▁"  # how the vocabulary marks the beginning of a word
 PRIOR_PIECES = 1000
+#: Characters, and words, that one step of spelling holds at most.
+CELLS, WORDS_AT_ONCE = 100_000, 10_000
 
 
 def train_fold(id_col: str):
@@ -48,49 +49,66 @@ def train_fold(id_col: str):
 
 
 class Spelling:
-    """Log probability of a word by all its segmentations into scored pieces."""
-
-    def __init__(self, scores: dict[str, float], byte_scores: list[float], end: float):
-        self.scores = scores
-        self.bytes = byte_scores
-        self.end = end
-        self.longest = max(map(len, scores), default=1)
-
-    def log_probability(self, word: str) -> float:
-        text = _START + word
-        forward = [0.0]
-        get, longest = self.scores.get, self.longest
-        for end in range(1, len(text) + 1):
-            arcs = []
-            for start in range(max(0, end - longest), end):
-                score = get(text[start:end])
-                if score is not None:
-                    arcs.append(forward[start] + score)
-            spelled = text[end - 1].encode()  # a character is always the bytes it is made of
-            arcs.append(forward[end - 1] + sum(self.bytes[b] for b in spelled))
-            best = max(arcs)
-            forward.append(best if len(arcs) == 1 else best + math.log(sum(math.exp(a - best) for a in arcs)))
-        return forward[-1] + self.end
+    """Log probabilities of words by all their segmentations into pieces, under several sets of scores at once."""
+
+    def __init__(self, pieces: list[str], scores: np.ndarray, byte_scores: np.ndarray, ends: np.ndarray):
+        """``scores``, ``byte_scores`` (256) and ``ends`` have a column, or an entry, a set."""
+        self.place = {piece: i for i, piece in enumerate(pieces)}
+        self.scores = np.vstack([scores, np.full(scores.shape[1], -np.inf)])  # the last row: no such piece
+        self.bytes, self.ends = byte_scores, ends
+        self.longest = max(map(len, pieces), default=1)
+
+    def log_probabilities(self, words: list[str], sets: list[int]) -> np.ndarray:
+        """words x sets. Words of equal length go through the forward recursion together, all sets at once."""
+        out = np.empty((len(words), len(sets)))
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, members in by_length.items():
+            at_once = max(1, CELLS // (length + 1))
+            for start in range(0, len(members), at_once):
+                part = members[start : start + at_once]
+                out[part] = self._forward([_START + words[i] for i in part], length + 1, sets)
+        return out
+
+    def _forward(self, texts: list[str], length: int, sets: list[int]) -> np.ndarray:
+        scores, find, none = self.scores[:, sets], self.place.get, len(self.place)
+        characters: dict[str, int] = {}
+        spelled = np.array([[characters.setdefault(c, len(characters)) for c in text] for text in texts])
+        # A character is always the bytes it is made of.
+        of_bytes = np.array([self.bytes[list(c.encode())].sum(axis=0) for c in characters])[:, sets]
+        forward = np.zeros((min(self.longest, length) + 1, len(texts), len(sets)))  # by position, in a ring
+        ring = len(forward)
+        for end in range(1, length + 1):
+            starts = range(max(0, end - self.longest), end)
+            piece = np.array([[find(text[start:end], none) for text in texts] for start in starts])
+            used = np.flatnonzero((piece < none).any(axis=1))
+            arcs = [forward[(end - 1) % ring] + of_bytes[spelled[:, end - 1]]]
+            arcs += [forward[starts[k] % ring] + scores[piece[k]] for k in used.tolist()]
+            best = arcs[0] if len(arcs) == 1 else np.maximum.reduce(arcs)
+            total = best if len(arcs) == 1 else best + np.log(sum(np.exp(arc - best) for arc in arcs))
+            forward[end % ring] = total
+        return forward[length % ring] + self.ends[sets]
 
 
 def spelling(model_path: str, counts: np.ndarray) -> Spelling:
-    """Piece scores from how often each vocabulary piece and, last, the word end occurs; all have some mass."""
+    """Piece scores from sets x (how often each vocabulary piece and, last, the word end occurs); all have some mass."""
     model = _model(model_path)
-    scores = np.log((counts + 0.1) / (counts + 0.1).sum())
-    normal, bytes_ = {}, [0.0] * 256
+    scores = np.log((counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)).T
+    normal, bytes_ = [], np.zeros((256, len(counts)))
     for i in range(model.get_piece_size()):
         if model.is_byte(i):
-            bytes_[int(model.id_to_piece(i)[3:5], 16)] = float(scores[i])
+            bytes_[int(model.id_to_piece(i)[3:5], 16)] = scores[i]
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            normal[model.id_to_piece(i)] = float(scores[i])
-    return Spelling(normal, bytes_, float(scores[-1]))
+            normal.append(i)
+    return Spelling([model.id_to_piece(i) for i in normal], scores[normal], bytes_, scores[-1])
 
 
-def spellings(model_path: str, counts: np.ndarray) -> list[Spelling]:
-    """One for all words, then one a class, whose counts are filled up with a few of the general ones."""
+def spellings(model_path: str, counts: np.ndarray) -> Spelling:
+    """The first set is for all words, then one a class, whose counts are filled up with a few of the general ones."""
     every = counts.sum(axis=0)
     general = every / max(1.0, every.sum()) * PRIOR_PIECES
-    return [spelling(model_path, every), *(spelling(model_path, c + general) for c in counts)]
+    return spelling(model_path, np.vstack([every, counts + general]))
 
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -181,32 +199,52 @@ class Mass:
         return np.logaddexp(np.log(np.maximum(own, 1e-300)), math.log(self.freed) + log_rest)
 
 
-def spell_words(words: DataFrame, models: list[Spelling], everything: Mass, each: list[Mass]) -> DataFrame:
+def spell_words(words: DataFrame, model: Spelling, everything: Mass, each: list[Mass]) -> DataFrame:
     """(word, c, p0, p1, ...): the words with their count and their log10 probability in every class.
 
     A class spells words its own way. For training words, whose spelling adds next to nothing to
     their own frequency, the general spelling stands for all.
     """
-    shared = words.sparkSession.sparkContext.broadcast(models)
-    names = [f"p{z}" for z in range(len(each))]
+    shared = words.sparkSession.sparkContext.broadcast(model)
+    names, counts = [f"p{z}" for z in range(len(each))], [f"c{z}" for z in range(len(each))]
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), *((p, pa.float64()) for p in names)])
 
-    def of(columns):
-        general, own = shared.value[0].log_probability, [m.log_probability for m in shared.value[1:]]
-        counts = np.array([columns[f"c{z}"] for z in range(len(each))], np.float64).reshape(len(each), -1)
-        total = counts.sum(axis=0)
-        words = [w.decode() for w in columns["word"]]
-        spelled = np.array(
-            [[general(w)] * len(own) if c else [spell(w) for spell in own] for w, c in zip(words, total)], np.float64
-        ).reshape(-1, len(own))
-        logs = {
-            p: mass.log(n, everything.log(total, spelled[:, z])) / math.log(10)
-            for z, (p, mass, n) in enumerate(zip(names, each, counts))
-        }
-        return {"word": columns["word"], "c": total.astype(np.int64), **logs}
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, WORDS_AT_ONCE):
+                batch = whole.slice(start, WORDS_AT_ONCE)
+                count = np.array([batch.column(c).to_numpy() for c in counts], np.float64)
+                total = count.sum(axis=0)
+                words = [w.decode() for w in batch.column("word").to_pylist()]
+                spelled = np.empty((len(words), len(each)))
+                for group, sets in ((total > 0, [0]), (total == 0, list(range(1, len(each) + 1)))):
+                    chosen = np.flatnonzero(group)
+                    spelled[chosen] = shared.value.log_probabilities([words[i] for i in chosen.tolist()], sets)
+                logs = [
+                    mass.log(n, everything.log(total, spelled[:, z])) / math.log(10)
+                    for z, (mass, n) in enumerate(zip(each, count))
+                ]
+                columns = [batch.column("word"), pa.array(total.astype(np.int64)), *map(pa.array, logs)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     typed = ", ".join(f"{p} double" for p in names)
-    return words.mapInArrow(per_batch(of, schema), f"word binary, c long, {typed}")
+    return words.select("word", *counts).mapInArrow(of, f"word binary, c long, {typed}")
+
+
+def commonest(spelled: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the words, the commonest: all with a count of at least some threshold.
+
+    The threshold comes from a histogram of the counts in eighths of octaves, so no task takes a list from all others.
+    """
+    bin_ = F.when(F.col("c") > 0, F.floor(F.log2("c") * 8)).otherwise(-1)
+    bins = spelled.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    threshold, taken = None, 0
+    for row in sorted(bins, key=lambda r: -r.bin):
+        taken += row.n
+        if taken > most:
+            break
+        threshold = row.least
+    return spelled.where(F.lit(False) if threshold is None else F.col("c") >= threshold)
 
 
 def score(
@@ -248,8 +286,8 @@ def score(
     everything = of("all", n_ends)
     each = [of(f"c{z}", ends.get(z, 0)) for z in range(n_classes)]
     n, v = everything.tokens, sums["all_kinds"] + (n_ends > 0)
-    models = spellings(model_path, count_pieces(words.where(total > 0), n_classes, model_path))
-    spelled = saved(spell_words(words, models, everything, each), "spelled")
+    model = spellings(model_path, count_pieces(words.where(total > 0), n_classes, model_path))
+    spelled = saved(spell_words(words, model, everything, each), "spelled")
     base_of = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     end_known, end_base = int(n_ends > 0), base_of(n_ends)
     end_logs = np.array([math.log10(max(ends.get(z, 0), 0.1) / max(m.tokens, 1)) for z, m in enumerate(each)])
@@ -257,7 +295,7 @@ def score(
     logs = [f"p{z}" for z in range(n_classes)]
 
     short = spelled.where(F.octet_length("word") <= FREQUENT_BYTES)
-    common = short.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    common = commonest(short, frequent).toArrow()
     count = common["c"].to_numpy().astype(np.float64)
     figures = np.column_stack(
         [count > 0, np.log10((count + 0.1) / (n + 0.1 * (v + 1))), *(common[p].to_numpy() for p in logs)]

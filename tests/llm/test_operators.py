@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -176,16 +179,86 @@ def test_mix_reaches_its_targets(spark, docs, none):
 
 
 def test_lattice_sums_all_segmentations(spark, docs, none):
-    scores = {"▁a": -1.0, "b": -2.0, "▁ab": -2.5, "▁": -3.0, "a": -1.5}
-    model = lattice.Spelling(scores, [-9.0] * 256, -0.5)
-    ways = [-3.0, -2.5, -6.5, -12.0 + 1.0]  # ▁a b, ▁ab, ▁ a b, ...
-    assert model.log_probability("ab") == pytest.approx(np.logaddexp.reduce(ways[:3]) - 0.5, abs=1e-3)
+    pieces = ["▁a", "b", "▁ab", "▁", "a"]
+    scores = np.array([[-1.0, -4.0], [-2.0, -1.0], [-2.5, -3.0], [-3.0, -1.5], [-1.5, -0.5]])
+    byte_scores = np.full((256, 2), [-9.0, -8.0])
+    model = lattice.Spelling(pieces, scores, byte_scores, np.array([-0.5, -0.25]))
+
+    def spelled(text, of):  # every segmentation, one after another
+        if not text:
+            return 1.0
+        one = math.exp(byte_scores[0, of] * len(text[0].encode())) * spelled(text[1:], of)
+        return one + sum(
+            math.exp(scores[i, of]) * spelled(text[len(p) :], of) for i, p in enumerate(pieces) if text.startswith(p)
+        )
+
+    words = ["ab", "", "ba", "é", "abab", "xaab", "ab"]
+    want = [[math.log(spelled("▁" + w, of)) + (-0.5, -0.25)[of] for of in (0, 1)] for w in words]
+    assert model.log_probabilities(words, [0, 1]) == pytest.approx(np.array(want), abs=1e-9)
+    assert model.log_probabilities(words, [1])[:, 0] == pytest.approx(np.array(want)[:, 1], abs=1e-9)
+    assert model.log_probabilities([], [0]).shape == (0, 1)
     found = lattice.score(docs, public_tokenizers.path("piece_bpe_32k.model"), frequent=1).collect()
     assert len(found) == 6 and all(r.score < 0 and r.base_score < 0 for r in found)
     assert {r.n_tokens for r in found if r.doc_id in (2, 3)} == {1}
     assert lattice.score(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_lattice_scores_equal_brute_force(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(11)
+    words = ["river", "stone", "rivers", "ice", "ab", "straße", "x9"]
+    rows = [(i, " ".join(rng.choice(words, i % 12, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05]))) for i in range(1, 60)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows += [(7, "New word here"), (7, "river ZZ"), (None, "stone once"), (70, None), (held[0], "unseen Unseen iced é")]
+    train = [t or "" for i, t in rows if i not in held]
+    count = Counter(w for t in train for w in t.lower().split())
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    freed = discount * len(count) / n
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    kinds = np.zeros(model.get_piece_size() + 1)
+    for word in count:
+        for i in model.encode(word):
+            kinds[i] += 1
+        kinds[-1] += 1
+    log_of = lambda k: np.log((k + 0.1) / (k + 0.1).sum())
+    seen, unseen = log_of(kinds), log_of(kinds + kinds / kinds.sum() * lattice.PRIOR_PIECES)
+    place = {
+        model.id_to_piece(i): i
+        for i in range(model.get_piece_size())
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
+    }
+    bytes_ = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
+
+    def spelled(text, scores):
+        ways = [1.0]
+        for end in range(1, len(text) + 1):
+            way = ways[-1] * math.exp(sum(scores[bytes_[b]] for b in text[end - 1].encode()))
+            way += sum(ways[k] * math.exp(scores[place[text[k:end]]]) for k in range(end) if text[k:end] in place)
+            ways.append(way)
+        return ways[-1] * math.exp(scores[-1])
+
+    def probability(word):
+        own = max(count[word] - discount, 0) / n
+        return own + freed * (own + freed * spelled("▁" + word, seen if count[word] else unseen))
+
+    base = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    want = []
+    for i, text in rows:
+        tokens = (text or "").lower().split()
+        score = sum(math.log10(probability(w)) for w in tokens) + math.log10(len(train) / n)
+        plain = sum(base(count[w]) for w in tokens) + base(len(train))
+        want.append((i or -1, len(tokens) + 1, 1 + sum(w in count for w in tokens), n, round(plain, 6), round(score, 6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' as c", "1L as row", "2 as z")
+    for frequent in (0, 3, 200_000):  # the list and the join give the same
+        found = lattice.score(docs, path, class_col=None, frequent=frequent).collect()
+        got = [
+            (r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found
+        ]
+        assert sorted(got) == sorted(want)
+
+
 def test_contamination_equals_brute_force(spark, docs, none):
     rng = np.random.default_rng(5)
     text = lambda n: " ".join(rng.choice(list("abc"), n))
