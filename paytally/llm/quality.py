@@ -163,15 +163,16 @@ def fit(
     """Fit on at most ``most_rows`` labelled rows, those whose id has the smallest hash.
 
     Rows with a null label, without a document, or in the held-out fold are not learned from; an id
-    labelled twice has the smaller label.
+    labelled twice has the smaller label, and of an id with several texts the smallest is learned.
     """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.where((F.pmod(crc32_of("doc_id"), F.lit(FOLDS)) != HELD_OUT) & F.col("y").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"))
     sample = saved(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "quality-sample")
     source = texts(docs, F.col(id_col).alias("doc_id"), text=text_col)
-    learned = source.join(F.broadcast(sample), "doc_id").select("y", "text")  # most_rows rows at most
-    table = _figures(learned, {"y": pa.int32()}, "y int, x array<double>").limit(4 * most_rows).toArrow()
+    learned = source.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    learned = learned.select("y", "text")  # most_rows rows at most
+    table = _figures(learned, {"y": pa.int32()}, "y int, x array<double>").toArrow()
     x = np.array(table["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = table["y"].to_numpy().astype(np.float64)
     by_value = np.lexsort((y, *x.T))  # the same trees whatever order the rows arrive in
