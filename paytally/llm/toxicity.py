@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from paytally.llm.common import ROWS_AT_ONCE, crc32_of, per_batch, saved, texts
 ORDER = 6
 DISCOUNT = 0.75
 ROWS_PER_CLASS = 2500
-PARTS = 4
+PARTS, WHOLE = 4, -1
 TOXIC_WEIGHT = 3
 REMEMBERED = 200_000  # tokens whose ratio a task process keeps
 THRESHOLD = 0.7
@@ -82,6 +83,10 @@ class KneserNey:
         return self.rows[:, np.fromiter(map(known.__getitem__, tokens), np.intp, len(tokens))]
 
 
+#: The arrays of a model, and their types.
+ARRAYS = {"gram": np.uint64, "gram_ratio": np.float64, "history": np.uint64, "history_ratio": np.float64}
+
+
 def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
     mixed = (state ^ (code + np.uint64(1))) * _MIX
     return mixed ^ (mixed >> np.uint64(29))
@@ -203,10 +208,10 @@ def fit(
     """Fit on at most ``rows_per_class`` labelled rows of each class, those of smallest hash.
 
     Rows with a null label or text, without a document, or in the held-out fold are not learned
-    from; an id labelled twice is toxic if one label says so. With one class missing, every score
-    is that of the other.
+    from; an id labelled twice is toxic if one label says so, and of an id with several texts the smallest is
+    learned. With one class missing, every score is that of the other. Models are fitted in tasks, one after another;
+    the driver holds the last.
     """
-    spark = docs.sparkSession
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     rows = rows.where((F.pmod(crc32_of("doc_id"), F.lit(FOLDS)) != HELD_OUT) & F.col("toxic").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -216,8 +221,8 @@ def fit(
     bounded = saved(sample[0].unionByName(sample[1]), "toxic-sample")  # 2 * rows_per_class rows at most
     source = texts(docs, F.col(id_col).alias("doc_id"), text=text_col).where("text is not null")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(PARTS)).cast("int")
-    learned = source.join(F.broadcast(bounded), "doc_id").select("text", "toxic", fold.alias("fold"))
-    learned = saved(learned, "toxic-texts")
+    learned = source.join(F.broadcast(bounded), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    learned = saved(learned.select("text", "toxic", fold.alias("fold")), "toxic-texts")
     schema = pa.schema([("toxic", pa.int32()), ("fold", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(columns):
@@ -228,30 +233,36 @@ def fit(
         return dict(zip(schema.names, zip(*rows))) if rows else {name: [] for name in schema.names}
 
     counted = learned.mapInArrow(per_batch(count, schema), "toxic int, fold int, word string, n long")
-    counted = counted.groupBy("toxic", "fold", "word").agg(F.sum("n").alias("n")).toArrow()
-    words, index = np.unique(np.array(counted["word"].to_pylist(), object), return_inverse=True)
-    toxic, part, n = (counted[c].to_numpy() for c in ("toxic", "fold", "n"))
-
-    def model(*folds: int) -> KneserNey:
-        chosen = np.isin(part, folds)
-        of = [np.bincount(index[chosen & (toxic == k)], n[chosen & (toxic == k)], len(words)) for k in (1, 0)]
-        used = np.flatnonzero(of[0] + of[1])
-        return fit_model([words[i] for i in used], of[0][used], of[1][used]) if len(used) else _nothing()
-
-    others = {k: model(*(i for i in range(PARTS) if i != k)) for k in range(PARTS)}
-    unknowing = spark.sparkContext.broadcast(others)  # the model that has not seen a part
-    out = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
-
-    def unseen(columns):
-        x = [features(t, unknowing.value[f]) for t, f in zip(columns["text"], columns["fold"])]
-        return {"toxic": columns["toxic"], "x": x}
-
-    seen = learned.mapInArrow(per_batch(unseen, out), "toxic int, x array<double>").toArrow()
+    # Every part's words count in the models that leave out another part, and in the one that leaves out none.
+    models = F.filter(F.array(*map(F.lit, [WHOLE, *range(PARTS)])), lambda k: k != F.col("fold"))
+    counted = counted.withColumn("without", F.explode(models)).groupBy("without", "word").agg(
+        *[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(c) for c, k in (("toxic", 1), ("ordinary", 0))]
+    )
+    counted = saved(counted, "toxic-words")
+
+    def model(words: pd.DataFrame) -> KneserNey:
+        words = words.sort_values("word")
+        return fit_model(words["word"].tolist(), words["toxic"].to_numpy(), words["ordinary"].to_numpy())
+
+    def unseen(words: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"toxic": [], "x": []})
+        fitted = model(words) if len(words) else _nothing()  # the model that has not seen the rows
+        return pd.DataFrame({"toxic": rows["toxic"], "x": [features(t, fitted) for t in rows["text"]]})
+
+    def arrays(words: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({name: [value.tobytes()] for name, value in vars(model(words)).items() if name in ARRAYS})
+
+    held = counted.where(F.col("without") != WHOLE).groupBy("without").cogroup(learned.groupBy("fold"))
+    seen = held.applyInPandas(unseen, "toxic int, x array<double>").toArrow()
+    whole = counted.where(F.col("without") == WHOLE).groupBy("without")
+    last = whole.applyInPandas(arrays, ", ".join(f"{name} binary" for name in ARRAYS)).first()
+    fitted = KneserNey(*(np.frombuffer(last[c], t) for c, t in ARRAYS.items())) if last else _nothing()
     x = np.array(seen["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = seen["toxic"].to_numpy().astype(np.float64)
     # Each class counts for as many rows as the labels have of it, toxic rows TOXIC_WEIGHT times.
     share = np.array([sizes.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)]) * [1, TOXIC_WEIGHT]
-    return Toxicity(model(*range(PARTS)), *_logistic(x, y, share[y.astype(int)]))
+    return Toxicity(fitted, *_logistic(x, y, share[y.astype(int)]))
 
 
 def _nothing() -> KneserNey:
