@@ -28,11 +28,11 @@ SURGE, SURGE_CHARACTERS = 0.05, 80
 # Element names by what they do to the text.
 _DROPPED = frozenset(
     "nav footer aside form button select menu dialog script style noscript template svg iframe object canvas "
-    "head title textarea option audio video map math figcaption".split()
+    "head title textarea option audio video annotation annotation-xml".split()
 )
 _RAW = frozenset("script style textarea title noscript template iframe".split())
 _BLOCKS = frozenset(
-    "address article blockquote body caption center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 header hr "
+    "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr "
     "html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINERS = frozenset("article body div figure header html main section table".split())
@@ -45,13 +45,27 @@ _HINTS = frozenset(
     "pagination paywall popup promo promoted promotion related replies respond rss search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split()
 )
+# Those of them that mean text which an article may hold but that is no part of it, however long it is.
+_FIRM_HINTS = frozenset(
+    "ad ads advert advertisement adverts advertising comment comments commentlist consent cookie cookies disqus gdpr "
+    "newsletter notice notices notification outbrain paywall promo promoted promotion replies respond sidebar signup "
+    "sponsor sponsored subscribe subscription taboola".split()
+)
+# Words that may stand beside a hint word in a name without changing what it says.
+_BESIDE_HINTS = frozenset(
+    "area article articles bar block blog bottom box btn button buttons container content entry fixed global group icon "
+    "icons inline inner item items js label left link links list main more outer page panel post posts primary right "
+    "secondary section side site slot sticky story stories text title top unit wrap wrapper".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An element of these that the page never closes is not taken for all the rest of the page.
 _OFTEN_UNCLOSED = frozenset("div section p span li ul".split())
 _KEPT_WHATEVER_CLASS = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
@@ -63,15 +77,28 @@ def _is_around(name: str, attributes: str, in_article: int) -> bool:
     return bool(attributes) and name not in _KEPT_WHATEVER_CLASS and bool(_HIDDEN.search(attributes))
 
 
-def _is_hinted(name: str, attributes: str, in_article: int) -> bool:
-    if not attributes or name in _KEPT_WHATEVER_CLASS:
-        return False
-    for found in _NAMES.finditer(attributes):
-        value = found[1] or found[2] or found[3] or ""
-        words = {w.lower() for w in _NAME_WORDS.findall(value)}
-        if words & _HINTS and not ("header" in words and in_article):
-            return True
-    return False
+def _hint(name: str, attributes: str, in_article: int, strict: bool) -> str | None:
+    """``firm`` or ``soft`` if a class, id or role suggests that the element is around the article.
+
+    Any hint word in a name is firm evidence outside the article. If ``strict``, where text of the
+    article may be, the whole name must say it (``comments-list``, not ``comments-on-method``), for
+    a paragraph its class, and words that may also be a topic are soft. Headings are never hinted.
+    """
+    if not attributes or name in _KEPT_WHATEVER_CLASS or name in _HEADINGS:
+        return None
+    found = None
+    for attribute in _NAMES.finditer(attributes):
+        if strict and name == "p" and not attribute[0].lower().startswith("class"):
+            continue
+        for whole in (attribute[1] or attribute[2] or attribute[3] or "").split():
+            words = {w.lower() for w in _NAME_WORDS.findall(whole)}
+            if in_article and "header" in words or not words & _HINTS:
+                continue
+            if not strict or words & _FIRM_HINTS and words <= _HINTS | _BESIDE_HINTS:
+                return "firm"
+            if words <= _HINTS | _BESIDE_HINTS:
+                found = "soft"
+    return found
 
 
 @dataclass
@@ -83,6 +110,7 @@ class _Hinted:
     line: int
     in_article: int
     in_link: int
+    soft: bool
     has_article: bool = False
 
 
@@ -91,7 +119,9 @@ def lines(page: str) -> list[tuple[str, int]]:
 
     A hint word only suggests that an element is around the article: one that contains an article or
     main element stays, and so does one with the page's largest block sum if no article or main element
-    has a block sum that counts beside it. The elements inside it are judged alone.
+    has a block sum that counts beside it. The elements inside it are judged alone. A soft hint drops only
+    what has no block of ``SURGE_CHARACTERS``, such as lists of links. What follows the last article goes if the
+    page's largest remaining block sum is in an article.
     """
     out: list[tuple[str, int]] = []
     text: list[str] = []
@@ -100,8 +130,9 @@ def lines(page: str) -> list[tuple[str, int]]:
     opened: Counter[str] = Counter()  # elements of each name now open
     hinted: list[_Hinted] = []  # those now open, outermost first
     levels: dict[tuple[str, int], int] = {}  # place in ``hinted`` by name and by how many of it were open before
-    around: list[tuple[int, int]] = []  # first line and line after the last of closed hinted elements without an article
+    around: list[tuple[int, int, bool]] = []  # closed hinted elements without an article: first line, end, soft or not
     articles: list[list[int]] = []  # first line and, once closed, line after the last
+    has_articles = bool(_ARTICLE.search(page))
 
     def end_line(gap: bool = False) -> None:
         nonlocal linked
@@ -120,7 +151,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         for one in reversed(hinted[level:]):
             del levels[one.name, one.before]
             if not one.has_article and (whole or one.name not in _OFTEN_UNCLOSED):
-                around.append((one.line, len(out)))
+                around.append((one.line, len(out), one.soft))
             in_link = one.in_link
         del hinted[level:]
 
@@ -152,7 +183,8 @@ def lines(page: str) -> list[tuple[str, int]]:
                 at = _after(page, name, at)
             continue
         alone = name in _VOID or attributes.rstrip().endswith("/")
-        if not closing and _is_hinted(name, attributes, in_article):
+        hint = None if closing else _hint(name, attributes, in_article, bool(in_article) or not has_articles)
+        if hint:
             end_line(gap=True)
             if alone:
                 continue
@@ -160,7 +192,7 @@ def lines(page: str) -> list[tuple[str, int]]:
                 at = _after(page, name, at)
                 continue
             levels[name, opened[name]] = len(hinted)
-            hinted.append(_Hinted(name, opened[name], len(out), in_article, in_link))
+            hinted.append(_Hinted(name, opened[name], len(out), in_article, in_link, hint == "soft"))
         if closing and opened[name]:
             opened[name] -= 1
             if (name, opened[name]) in levels:
@@ -196,32 +228,52 @@ def lines(page: str) -> list[tuple[str, int]]:
     return _without(out, around, [(a[0], a[-1] if len(a) > 1 else len(out)) for a in articles])
 
 
+def _heart(lengths: list[int], sums: list[int]) -> int:
+    """The longest line of the largest block; -1 if there are no lines."""
+    most = max(range(len(sums)), key=sums.__getitem__, default=0)
+    return max(range(most, min(most + WINDOW, len(lengths))), key=lengths.__getitem__, default=-1)
+
+
+def _sums(lengths: list[int], window: int = WINDOW) -> list[int]:
+    return [sum(lengths[i : i + window]) for i in range(len(lengths))]
+
+
+def _blank(found: list[tuple[str, int]], ranges: list[tuple[int, int]]) -> list[tuple[str, int]]:
+    """All lines, those of the ranges empty."""
+    change = [0] * (len(found) + 1)
+    for first, end in ranges:
+        change[first] += 1
+        change[end] -= 1
+    return [("", 0) if depth else line for line, depth in zip(found, accumulate(change))]
+
+
 def _without(
-    found: list[tuple[str, int]], around: list[tuple[int, int]], articles: list[tuple[int, int]]
+    found: list[tuple[str, int]], around: list[tuple[int, int, bool]], articles: list[tuple[int, int]]
 ) -> list[tuple[str, int]]:
-    """The lines outside of ``around``.
+    """The lines outside of ``around``, and not after the last of ``articles`` if they hold the largest block.
 
-    If no block sum of ``articles`` passes the threshold that the page's largest sets, ranges with the
-    longest line of that largest block stay.
+    If no block sum of ``articles`` passes the threshold that the page's largest sets, or there are none and
+    no other block has ``SURGE_CHARACTERS``, ranges with the longest line of that largest block stay. So do soft ranges with a block sum of ``SURGE_CHARACTERS``.
     """
-    if not around:
+    if not around and not articles:
         return found
     lengths = [n for _, n in found]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    most = max(range(len(sums)), key=sums.__getitem__, default=0)
-    heart = max(range(most, min(most + WINDOW, len(lengths))), key=lengths.__getitem__, default=-1)
-    own = max((sum(lengths[i : min(i + WINDOW, end)]) for first, end in articles for i in range(first, end)), default=0)
-    if own and own >= min(SURGE * sums[most], SURGE_CHARACTERS):
+    sums = _sums(lengths)
+    least = min(SURGE * max(sums, default=0), SURGE_CHARACTERS)
+    heart = _heart(lengths, sums)
+    inside = lambda first, end: max((sum(lengths[i : min(i + WINDOW, end)]) for i in range(first, end)), default=0)
+    around = [(first, end) for first, end, soft in around if not (soft and inside(first, end) >= SURGE_CHARACTERS)]
+    own = max((inside(first, end) for first, end in articles), default=0)
+    beside = 0 if articles else max(_sums([n for _, n in _blank(found, around)]), default=0)
+    if own and own >= least or beside >= SURGE_CHARACTERS:
         heart = -1
-    change = [0] * (len(found) + 1)
-    for first, end in around:
-        if not (first <= heart < end and lengths[heart]):
-            change[first] += 1
-            change[end] -= 1
+    left = _blank(found, [(first, end) for first, end in around if not (first <= heart < end and lengths[heart])])
+    lengths = [n for _, n in left]
+    heart = _heart(lengths, _sums(lengths))
+    if heart >= 0 and lengths[heart] and any(first <= heart < end for first, end in articles):
+        left = left[: max(end for _, end in articles)]
     kept: list[tuple[str, int]] = []
-    for line, depth in zip(found, accumulate(change)):
-        if depth:
-            line = ("", 0)
+    for line in left:
         if line[0] or (kept and kept[-1][0]):
             kept.append(line)
     return kept
@@ -253,7 +305,7 @@ def _after(page: str, name: str, at: int) -> int:
 def main_lines(found: list[tuple[str, int]], window: int = WINDOW, surge: float = SURGE) -> list[str]:
     """The lines between surges and dives of the block distribution."""
     lengths = [n for _, n in found]
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    sums = _sums(lengths, window)
     most = max(sums, default=0)
     if not most:
         return []
@@ -283,7 +335,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
     Null ids and urls pass through, repeated rows are each extracted, an empty table gives no rows.
-    Only the three named columns are read.
+    Only the three named columns are read, so that others may have any name. A very long page is
+    held whole by one task, with its lines; nothing of it is cut.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -300,6 +300,43 @@ def test_main_text_inside_a_hinted_wrapper(around):
         assert html_text.main_text(page) == want
 
 
+LEAD = "<p>An article begins with a first paragraph that is long enough to be its text, and to count.</p>"
+LEAD_TEXT = "An article begins with a first paragraph that is long enough to be its text, and to count."
+
+
+@pytest.mark.parametrize(
+    "part, want",
+    [
+        ("<h2 id='related-work'>Related work</h2><p>Others did so.</p>", "Related work Others did so."),
+        ("<h2 id=search>Search</h2><p>Trees are searched.</p>", "Search Trees are searched."),
+        ("<p class='notice-period'>Three months are usual.</p>", "Three months are usual."),
+        ("<section id='comments-on-method'><h2>Method</h2><p>It holds.</p></section>", "Method It holds."),
+        ("<figure><img src=x><figcaption>Fig. 1: a tree</figcaption></figure>", "Fig. 1: a tree"),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p>", "So x=2 here."),
+        ("<section id=search><p>" + "How one searches a tree. " * 5 + "</p></section>", ("How one searches a tree. " * 5).strip()),
+        ("<div class='related-posts'><ul><li><a href=x>Another text</a></ul></div>", ""),
+        ("<section id=comments><p>" + "A reader wrote all this. " * 20 + "</p></section>", ""),
+        ("<div class='ad-slot-2'>Buy it</div><p class=ad>Buy this</p><div id=newsletter-signup>Mail</div>", ""),
+        ("<div class='layout no-sidebar'><div class=row><p>Deep inside.</p><div class=share>Share</div></div></div>", "Deep inside."),
+    ],
+)
+def test_main_text_keeps_the_article(part, want):
+    whole = f"{LEAD_TEXT} {want}".strip()
+    for page in ("<main><article>%s%s</article></main><p>Read on at our shop.</p>", "<article>%s%s</article>", "<div>%s%s</div>"):
+        assert html_text.main_text("<body><nav>Home</nav>" + page % (LEAD, part) + "<footer>We</footer></body>") == whole
+
+
+def test_extract_rows(spark):
+    page = f"<article>{LEAD}" + "<p>More of it.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, "v", "<p>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "1 as n_chars")
+    found = html_text.extract(pages)
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    want = LEAD_TEXT + " More of it." * 20_000
+    assert sorted((r.page_id, r.text) for r in found.collect()) == [(1, want), (1, want), (2, "")]
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
 def test_neighbours_recall_beside_a_hot_vector(spark):
     x = np.random.default_rng(7).standard_normal((4096, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
