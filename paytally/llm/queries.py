@@ -175,7 +175,7 @@ SQL: dict[str, str] = {
         ), item_words AS (
             SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), upper, lower),
                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-            FROM benchmark, alphabet WHERE item_id IS NOT NULL
+            FROM benchmark, alphabet
         ), sized_items AS (
             SELECT item, words, least(len(words), 10) AS size FROM item_words WHERE len(words) > 0
         ), item_windows AS (
@@ -193,7 +193,7 @@ SQL: dict[str, str] = {
             FROM (SELECT doc_id, unnest(range(first, first + size)) AS word FROM found) GROUP BY doc_id
         ), items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-            FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+            FROM (SELECT DISTINCT doc_id, item FROM found WHERE item IS NOT NULL) GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
             coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,

@@ -263,6 +263,7 @@ def test_contamination_equals_brute_force(spark, docs, none):
     rng = np.random.default_rng(5)
     text = lambda n: " ".join(rng.choice(list("abc"), n))
     items = [(str(i), text(n)) for i, n in enumerate((30, 12, 10, 4, 0, 25))] + [("6", None), ("7", "a b c a b c a b c a b")]
+    items += [("1", text(11)), (None, text(12)), (None, "c c c c"), items[5]]  # ids that repeat, no id, a repeated row
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     rows = spark.createDataFrame([(i, text(300) + " " + items[0][1]) for i in range(8)], "doc_id long, text string")
     windows = {}
@@ -279,7 +280,7 @@ def test_contamination_equals_brute_force(spark, docs, none):
                 for j in range(len(words) - size + 1):
                     if tuple(words[j : j + size]) in windows:
                         hit.update(range(j, j + size))
-                        names |= windows[tuple(words[j : j + size])]
+                        names |= windows[tuple(words[j : j + size])] - {None}
             row = found[doc_id]
             assert (row.n_words, row.n_hit, row.n_items) == (len(words), len(hit), len(names))
             assert row.items_sha256 == decontaminate.items_digest(list(names))
@@ -288,6 +289,15 @@ def test_contamination_equals_brute_force(spark, docs, none):
     assert decontaminate.report(cleaned, long_items).where("contaminated").count() == 0
     assert decontaminate.decontaminate(docs, benchmark.where("false")).count() == 6
     assert decontaminate.report(none, benchmark).count() == 0
+    nothing = decontaminate.report(docs, benchmark.where("false")).collect()
+    assert len(nothing) == 6 and not any(r.n_hit or r.n_items or r.contaminated for r in nothing)
+    named = docs.withColumns({c: F.lit("x") for c in (decontaminate.HITS, decontaminate.ITEMS, decontaminate.WORDS)})
+    for block_words in (2_000_000, 30):
+        assert sorted(map(str, decontaminate.decontaminate(named, benchmark, block_words=block_words).collect())) == sorted(
+            map(str, named.collect())
+        )
+    assert sorted(r[decontaminate.WORDS] for r in decontaminate.mark(named, benchmark).collect())[:2] == [0, 0]
+    assert decontaminate.report(named, benchmark).count() == 6
 
 
 @pytest.mark.parametrize("around", ["layout has-sidebar", "no-sidebar", "nav-open", "social-enabled"])
