@@ -1,19 +1,22 @@
-"""Near copies by exact similarity of word shingles: prefix filtering, then verification.
+"""Near copies by SimHash and pigeonring filtering, completed to exact similarity of word shingles.
 
 A text is the set of the XXH64 hashes of its five-word shingles. Two texts link when the Jaccard
-similarity of their sets is ``SIMILARITY`` or more. In any one order of all hashes, two such sets
+similarity of their sets is ``SIMILARITY`` or more. The operator ``simhash`` proposes first: texts of equal
+fingerprints, and forests of the links its pigeonring filter finds within ``BUDGET`` bits; whole sets decide on each.
+At 0.8 two fingerprints differ in about 10 of 64 bits, and segments for budgets that reach most such
+pairs are 3 or 4 bits wide, which filters nothing. So prefix filtering finds the links between the classes
+that are left: in any one order of all hashes, two such sets
 share a hash among the first ``n - ceil(s * n) + 1`` of each, so grouping those prefixes by hash
 proposes every such pair; sizes and places in the prefix drop most others, and the whole sets
-decide. Nothing is left to chance. (SimHash with pigeonring filtering, the method of ``simhash``,
-cannot do this: at 0.8 two fingerprints differ in about 10 of 64 bits, and segments for budgets
-that reach most such pairs are 3 or 4 bits wide, which filters nothing.)
+decide. Nothing is left to chance.
 
 Scale: only prefixes, a fifth of the hashes, are shuffled, and equal texts count once. Hashes that
 are frequent in a sample come last in the order, rarer ones first, so prefixes seldom hold them;
-the order changes the work, never the result. Each group first meets its first member alone. Then
-groups with members that those links leave in different classes are covered by stars: the first in an order of
+the order changes the work, never the result. Groups with members in different
+classes are covered by stars: the first in an order of
 the round meets all that may be like it, the first of the others likewise, until none is left. Rounds go on until
-one finds less than a twentieth of the first links. Last, only members that are in different classes even then meet each other, so a group of mutual copies costs its length, not its square. Before a pair is proposed, parities of its sets decide: each of ``BITS`` bits tells whether
+one finds less than a twentieth of the first round's links; each joins the classes of the round before, so components
+are sought among classes only. Last, only members that are in different classes even then meet each other, so a group of mutual copies costs its length, not its square. Before a pair is proposed, parities of its sets decide: each of ``BITS`` bits tells whether
 an odd number of a set's hashes fall on it, so two sets differ in at least as many hashes as their
 parities differ in bits, and pairs that differ in too many go. Texts are read again for proposed
 pairs only. A task holds one group of one hash, of numbers only. What the stage wrote for
@@ -30,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytally.llm.common import ROWS_AT_ONCE, discard, saved, space_words
-from paytally.llm.simhash import components, shingle_hashes
+from paytally.llm.simhash import components, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Numerator and denominator of the least similarity.
 SIMILARITY = (4, 5)
+#: Bits in which fingerprints that propose a pair may differ.
+BUDGET = 4
 BITS = 512
 _PARITY = [f"b{i}" for i in range(BITS // 64)]
 _SAMPLE = 4000
@@ -47,9 +52,13 @@ def text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    return shingle_hashes(space_words(text), SHINGLE)
+
+
 def tokens(text: str | None) -> np.ndarray:
     """The distinct shingle hashes, ascending; one for a text of few or no words."""
-    return np.unique(shingle_hashes(space_words(text), SHINGLE).view(np.int64))
+    return np.unique(_hashes(text).view(np.int64))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -97,16 +106,17 @@ def _near_enough(parities: np.ndarray, others: np.ndarray, n: np.ndarray, other_
 
 
 def _sets(texts: DataFrame, name: str, kind: str, frequent=None) -> DataFrame:
-    """(name, n, tokens) of rows (name, text): all hashes and their wide parity, or with ``frequent`` the prefix and the parity of all."""
+    """(name, n, tokens) of rows (name, text): all hashes and their wide parity, or with ``frequent`` the prefix, and the parity and fingerprint of all."""
     schema = pa.schema([(name, pa.string() if kind == "string" else pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-    extra = [("bits", pa.binary())] if frequent is None else [(b, pa.int64()) for b in _PARITY]
+    extra = [("bits", pa.binary())] if frequent is None else [(b, pa.int64()) for b in [*_PARITY, "print"]]
     schema = pa.schema([*schema, *extra])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                sets = [tokens(t) for t in part.column(1).to_pylist()]
+                hashes = [_hashes(t) for t in part.column(1).to_pylist()]
+                sets = [np.unique(h.view(np.int64)) for h in hashes]
                 kept = sets if frequent is None else [prefix(s, *frequent) for s in sets]
                 ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept), pa.int64()))
@@ -116,9 +126,10 @@ def _sets(texts: DataFrame, name: str, kind: str, frequent=None) -> DataFrame:
                 else:
                     bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(_PARITY))
                     columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(_PARITY))]
+                    columns.append(pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    more = ", bits binary" if frequent is None else "".join(f", {b} long" for b in _PARITY)
+    more = ", bits binary" if frequent is None else "".join(f", {b} long" for b in [*_PARITY, "print"])
     return texts.select(name, "text").mapInArrow(of, f"{name} {kind}, n int, tokens array<long>{more}")
 
 
@@ -140,31 +151,6 @@ def _can_link(n, place, other_n, other_place, least):
     return least(n - place, other_n - other_place) * (num + den) >= (n + other_n) * num
 
 
-def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by hash, but the first of each hash, whose number comes with those that can link with it."""
-    names, held = ["token", "number", "n", "pos", *_PARITY], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held is not None:
-            now = [np.concatenate([h, c]) for h, c in zip(held, now)]
-        row = np.arange(len(now[0]))
-        new = np.ones(len(row), bool)
-        new[1:] = now[0][1:] != now[0][:-1]
-        first = np.maximum.accumulate(np.where(new, row, 0))
-        later = np.flatnonzero(first != row)
-        head = first[later]
-        held = [c[first[-1] : first[-1] + 1] for c in now]
-        n, place = now[2].astype(np.int64), now[3].astype(np.int64)
-        bits = np.stack(now[4:], axis=1)
-        can = _can_link(n[later], place[later], n[head], place[head], np.minimum)
-        can &= _near_enough(bits[later], bits[head], n[later], n[head])
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c[later]) for c in now), pa.array(now[1][head], mask=~can)], names=[*names, "first"]
-        )
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The rows of one hash, of batches sorted by hash, if they are in different classes."""
     held = None
@@ -253,6 +239,32 @@ def _verified(pairs: DataFrame, keyed: DataFrame, numbered: DataFrame, name: str
     return near
 
 
+def _print_pairs(numbered: DataFrame) -> DataFrame:
+    """(a, b) of texts whose fingerprints are equal, each with the first, or linked by the pigeonring filter's forests."""
+    prints = saved(numbered.groupBy("print").agg(F.min("number").alias("first")), "prints")
+    same = numbered.join(prints, "print").where("number <> first").select(F.col("first").alias("a"), F.col("number").alias("b"))
+    near = links(prints.select(F.col("print").alias("bits")), BUDGET)
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("print").alias(end), F.col("first").alias(f"first_{end}")), end)
+    ends = F.col("first_a"), F.col("first_b")
+    found = same.unionByName(near.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")))
+    found = saved(found.distinct(), "print-pairs")
+    discard(prints)
+    return found
+
+
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): components are sought among the classes that these join."""
+    for end in ("a", "b"):
+        more = more.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    ends = more.select(*(F.coalesce(f"root_{end}", end).alias(end) for end in ("a", "b")))
+    joined = components(ends.where("a <> b").distinct())
+    moved = labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    moved = moved.select("node", F.coalesce("to", "root").alias("root"))
+    single = joined.join(labels, "node", "left_anti")  # in no class before
+    return saved(moved.unionByName(single), "labels")
+
+
 def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, class): of every distinct text, named by ``text_key``, the class of near copies it belongs to.
 
@@ -261,46 +273,44 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     keyed = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     prefixes = _sets(keyed, "key", "string", _frequent(keyed))
-    once = prefixes.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *_PARITY)))
+    once = prefixes.groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *_PARITY, "print")))
     numbered = saved(once.withColumn("number", F.monotonically_increasing_id()), "prefixes")
     columns = ["token", "number", "n", "pos", *_PARITY]
 
-    def labelled(rows: DataFrame, links: DataFrame, order: Column | str) -> DataFrame:
+    tried = _print_pairs(numbered)
+    edges = _verified(tried, keyed, numbered, "print-links")
+    labels = saved(components(edges), "labels")
+    spent = [numbered, tried, edges, labels]
+
+    def labelled(rows: DataFrame, order: Column | str) -> DataFrame:
         label = F.coalesce("root", "number").alias("label")
-        rows = rows.join(components(links), F.col("number") == F.col("node"), "left").select(*columns, label)
+        rows = rows.join(labels, F.col("number") == F.col("node"), "left").select(*columns, label)
         return rows.repartition("token").sortWithinPartitions("token", order)
 
     hashes = numbered.select("number", "n", *_PARITY, F.posexplode("tokens").alias("pos", "token")).select(*columns)
-    sorted_hashes = hashes.repartition("token").sortWithinPartitions("token", "number")
-    bits = ", ".join(f"{b} long" for b in _PARITY)
-    shared = saved(
-        sorted_hashes.mapInArrow(_with_first, f"token long, number long, n int, pos int, {bits}, first long"),
-        "shared-hashes",
-    )
-    tried = shared.where("first is not null").select(F.col("first").alias("a"), F.col("number").alias("b"))
-    tried = saved(tried.distinct(), "first-pairs")
-    edges = _verified(tried, keyed, numbered, "first-links")
-    spent = [numbered, shared, tried, edges]
-    left = saved(labelled(shared, edges, "number").mapInArrow(_open, shared.drop("first").schema), "open-groups")
+    left = saved(labelled(hashes, "number").mapInArrow(_open, hashes.schema), "open-groups")
     spent.append(left)
 
     def joined(propose, name: str, order: Column | str) -> int:
         """Verify what is proposed and take in its links; how many there are."""
-        nonlocal edges, tried
-        found = labelled(left, edges, order).mapInArrow(propose, "a long, b long").distinct()
+        nonlocal labels, tried
+        found = labelled(left, order).mapInArrow(propose, "a long, b long").distinct()
         found = saved(found.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
         more = _verified(found, keyed, numbered, f"{name}-links")
-        edges, tried = edges.unionByName(more), tried.unionByName(found)
-        spent.extend([found, more])
-        return more.count()
-
-    links, rounds = [edges.count()], 0
-    while links[-1] * 20 > links[0]:
-        links.append(joined(_stars, "star", F.xxhash64("number", F.lit(rounds))))
+        tried = tried.unionByName(found)
+        count = more.count()
+        if count:
+            labels = _merged(labels, more)
+        spent.extend([found, more, labels])
+        return count
+
+    first = last = joined(_stars, "star", F.xxhash64("number", F.lit(0)))
+    rounds = 1
+    while last * 20 > first:
+        last = joined(_stars, "star", F.xxhash64("number", F.lit(rounds)))
         rounds += 1
     joined(_pairs, "other", "number")
-    roots = components(edges)
-    named = numbered.select("key", "number").join(roots, F.col("number") == F.col("node"), "left")
+    named = numbered.select("key", "number").join(labels, F.col("number") == F.col("node"), "left")
     named = saved(named.select("key", F.coalesce("root", "number").alias("class")), "classes")
     discard(*spent)
     return named

@@ -47,10 +47,10 @@ def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Bits set in over half of the shingle hashes; 0 for a text without words."""
     words = space_words(text)
-    return int(_majority(shingle_hashes(words, shingle))) if words else 0
+    return int(majority(shingle_hashes(words, shingle))) if words else 0
 
 
-def _majority(hashes: np.ndarray) -> np.uint64:
+def majority(hashes: np.ndarray) -> np.uint64:
     count = np.zeros(BITS, np.int64)
     # A byte holds the sums of 255 rows, so most of the adding is done on bytes.
     for start in range(0, len(hashes), 255 * 64):

@@ -97,3 +97,15 @@ def test_stages_keep_columns_of_any_name(spark):
     assert corpus_pipeline.pack_tokens(spark, mixed, folder).count() == mixed.count() > 0
     for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.remove_benchmark, corpus_pipeline.mix_sources):
         assert stage(spark, docs.where("false"), folder).count() == 0
+
+
+def test_near_copies_are_proposed_by_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "_open", lambda batches: (b.slice(0, 0).drop_columns(["label"]) for b in batches))
+    base = [f"w{i}" for i in range(300)]
+    near, far = [*base[:299], "x"], [f"v{i}" for i in range(300)]
+    texts = [" ".join(words) for words in (base, near, [*base, *base], far)]  # repeats: equal sets almost
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.key: r["class"] for r in near_copies.classes(docs).collect()}
+    keys = [r.key for r in docs.orderBy("doc_id").select(near_copies.text_key("text").alias("key")).collect()]
+    base_class, near_class, twice_class, far_class = (found[k] for k in keys)
+    assert base_class == near_class == twice_class != far_class
