@@ -604,6 +604,8 @@ def compact_day(spark, sf_dir):
 
 #: Micro-batches of the queries that let events arrive piece by piece.
 PIECES = 4
+#: Rows of an arriving file. One task reads a file's row group, and small files are dealt evenly to tasks.
+FILE_ROWS = 100_000
 
 
 def run_ingest(
@@ -623,7 +625,7 @@ def run_ingest(
         ingest(adapters.events_stream(spark, sf_dir))
         return store
     for number, piece in enumerate(adapters.in_time_order(adapters.table(spark, sf_dir, "events"), pieces)):
-        piece.write.parquet(f"{root}/inbox/{number:04}")
+        piece.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/inbox/{number:04}")
         ingest(adapters.events_inbox(spark, f"{root}/inbox"))
         if between:
             between(store, number)
