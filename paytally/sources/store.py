@@ -63,6 +63,8 @@ class Table:
     key: str | None = None
     #: With a key: the date that bounds reads and retention.
     dated: str | None = None
+    #: Few parts hold a whole batch: its rows are dealt to the writing tasks by the first sort column too.
+    coarse: bool = False
 
 
 class BatchStore:
@@ -97,12 +99,13 @@ class BatchStore:
 
     def _write(self, table: Table, rows: DataFrame, path: str) -> None:
         """One overwrite of an explicit path. Rebalancing by the part column writes few
-        files per part and splits a part that holds much of the data; sorting lets row
-        group statistics skip."""
+        files per part and splits a part that holds much of the data, but only past 64 MB: one
+        task would sort and write a coarse table's whole batch. Sorting lets row group statistics skip."""
         fields = [F.col(f.name).cast(f.dataType) for f in table.schema.fields]
+        dealt = [table.part, table.sort[0]] if table.coarse else [table.part]
         writer = (
             rows.select(*fields)
-            .hint("rebalance", F.col(table.part))
+            .hint("rebalance", *map(F.col, dealt))
             .sortWithinPartitions(table.part, *table.sort)
             .write.mode("overwrite")
             .partitionBy(table.part)
@@ -485,15 +488,16 @@ class IngestStore(BatchStore):
                 Table("log", schemas.event_log(merchant_kind), "occurred_date", ("created_at", "id")),
                 Table(
                     "ledger", schemas.LEDGER, "key_part", ("idempotency_key",),
-                    key="idempotency_key", dated="created_date",
+                    key="idempotency_key", dated="created_date", coarse=True,
                 ),
                 Table(
                     "quarantine",
                     schemas.quarantine(merchant_kind),
                     "quarantined_date",
                     ("merchant_id",),
+                    coarse=True,
                 ),
-                Table("responses", schemas.RESPONSES, "received_date", ("idempotency_key",)),
+                Table("responses", schemas.RESPONSES, "received_date", ("idempotency_key",), coarse=True),
             ],
             schemas.INGEST_COMMIT,
         )
@@ -566,7 +570,10 @@ class RollupStore(BatchStore):
         self.consumer_id = consumer_id
         order = ("merchant_id", "bucket")
         cells = [
-            Table(g, schemas.cells(merchant_kind, g), schemas.CELL_PART[g], order, merge_cells)
+            Table(
+                g, schemas.cells(merchant_kind, g), schemas.CELL_PART[g], order, merge_cells,
+                coarse=schemas.CELL_PART[g] == "bucket_month",
+            )
             for g in GRAINS
         ]
         super().__init__(
@@ -575,7 +582,7 @@ class RollupStore(BatchStore):
             [
                 Table("markers", schemas.MARKER, "occurred_date", ("event_id",)),
                 *cells,
-                Table("board", schemas.board(merchant_kind), "period", ("merchant_id",), merge_board),
+                Table("board", schemas.board(merchant_kind), "period", ("merchant_id",), merge_board, coarse=True),
                 Table("late", schemas.late_events(merchant_kind), "event_date", ("event_id",)),
             ],
             schemas.ROLLUP_COMMIT,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import GHOST, M, M2, T0, at, cell_rows, merchants, producer
 from paytally.operators.rollup import cells_from_events
-from paytally.plans import nightly
+from paytally.plans import nightly, queries
 from paytally.sources.store import IngestStore, RollupStore, SnapshotStore
 from paytally.streaming.ingest import ingest_batch
 from paytally.streaming.rollup import backfill, rebuild, rollup_batch
@@ -385,3 +385,25 @@ def test_a_batch_committed_while_a_day_is_compacted_stays(spark, ingest, rollups
     nightly.compact_day(rollups, T0.date())
     total = lambda grain: rollups.cells(grain).agg({"count": "sum"}).first()[0]
     assert total("hour") == total("day") == 2
+
+
+def test_a_batch_of_one_part_is_written_by_several_tasks(spark, ingest, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ingest_batch(ingest, producer(spark, [(f"k{i}", M, 5, T0) for i in range(40)]), merchants(spark), "r", 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "ingest/ledger/run_id=r/batch_id=0").glob("key_part=*/part-*"))) > 1
+    assert ingest.ledger().count() == 40
+
+
+def test_arriving_files_are_small_enough_to_deal_out(spark, tmp_path, monkeypatch):
+    events = spark.range(30).selectExpr(
+        "id event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id)) ts", "id user_id", "'purchase' event_type",
+        "1.0d value", "'{}' props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(30).selectExpr("id c_custkey", "'a' c_name", "'BUILDING' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(queries, "FILE_ROWS", 5, raising=False)
+    store = queries.run_ingest(spark, str(tmp_path), f"{tmp_path}/root", 2)
+    assert store.log().count() == 30
+    assert all(len(list((tmp_path / f"root/inbox/{n:04}").glob("part-*"))) >= 3 for n in range(2))
